@@ -8,6 +8,7 @@ from modengine.llm.ann import nearest
 from modengine.llm.bagminhash import near_duplicate_classes
 from modengine.llm.chat import chat_digest
 from modengine.llm.licenses import scan_licenses
+from modengine.llm.mixing import mixture
 from modengine.llm.packing import pack
 from modengine.llm.quality import quality_report
 from modengine.llm.substring import substring_digest
@@ -32,6 +33,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(_table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op4_license_scan, op5_bagminhash, op6_token_files, op7_warc, op8_cross_polytope, op9_chat_format, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_substring_dedup, op4_license_scan, op5_bagminhash, op6_token_files, op7_warc, op8_cross_polytope, op9_chat_format, op10_best_fit_packing)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": r"""
