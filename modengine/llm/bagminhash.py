@@ -38,7 +38,9 @@ THRESHOLD = (4, 5)
 LEAST_AGREEING = int(SLOTS * 0.8 - 5 * (SLOTS * 0.16) ** 0.5)
 #: Members of a band that one task compares with as many others.
 CELL = 2000
-CHUNK_BYTES = 2 << 20
+#: Shingles (8 bytes each) of the members of a band that one task holds, about.
+CELL_SHINGLES = 2_000_000
+CHUNK_BYTES = 1 << 20
 
 
 def shingles(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +124,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SCAN = "doc_key long, crc long, fold binary, sig binary, bands array<long>"
+_SCAN = "doc_key long, crc long, fold binary, size int, sig binary, bands array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +137,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = np.flatnonzero(counts)
             fold = np.stack([one, two], 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(on)), pa.array([zlib.crc32(texts[i]) for i in on], pa.int64()), pa.array([fold[i].tobytes() for i in on], pa.binary()), pa.array([sig[i].tobytes() for i in on], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * BANDS, pa.int32()), pa.array(keys[on].ravel()))],
-                ["doc_key", "crc", "fold", "sig", "bands"],
+                [batch.column(0).take(pa.array(on)), pa.array([zlib.crc32(texts[i]) for i in on], pa.int64()), pa.array([fold[i].tobytes() for i in on], pa.binary()), pa.array(np.maximum(1, counts[on] - SHINGLE + 1), pa.int32()), pa.array([sig[i].tobytes() for i in on], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * BANDS, pa.int32()), pa.array(keys[on].ravel()))],
+                ["doc_key", "crc", "fold", "size", "sig", "bands"],
             )
 
 
@@ -176,35 +178,82 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_keys", "b_keys").mapInArrow(_overlaps, "a long, b long")
 
 
-def _cross_class(table: pa.Table) -> pa.Table:
-    """Pairs of different classes in one cell of a band whose signatures do not rule the threshold out."""
+def _partners(sig: np.ndarray, band: int, i: int) -> np.ndarray:
+    """Members that ``i`` may be alike to and whose first band shared with it is ``band``: each pair has one such cell."""
+    same = sig == sig[i]
+    near = np.flatnonzero(same.sum(1) >= LEAST_AGREEING)
+    shared = same[near].reshape(len(near), BANDS, ROWS).all(2)
+    return near[shared.argmax(1) == band]
+
+
+def _cell(table: pa.Table) -> tuple[np.ndarray, ...]:
     node, label, minor = (table.column(c).to_numpy() for c in ("node", "label", "minor"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+    return node, label, minor, np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+
+
+def _flagged(table: pa.Table) -> pa.Table:
+    """The members of a cell that have a partner of another class there."""
+    node, label, minor, sig = _cell(table)
+    band, found = table.column("band")[0].as_py(), np.zeros(len(node), bool)
+    for i in np.flatnonzero(minor):
+        near = _partners(sig, band, i)
+        near = near[label[near] != label[i]]
+        found[near] = True
+        found[i] |= len(near) > 0
+    return table.select(["key", "node"]).filter(pa.array(found))
+
+
+def _cell_links(table: pa.Table) -> pa.Table:
+    """Links between classes of a cell, by exact overlap; pairs that earlier links already join are not compared."""
+    num, den = THRESHOLD
+    node, label, minor, sig = _cell(table)
+    band, keys = table.column("band")[0].as_py(), [np.frombuffer(k, "<u8") for k in table.column("keys").to_pylist()]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
     a, b = [], []
     for i in np.flatnonzero(minor):
-        near = np.flatnonzero((sig == sig[i]).sum(1) >= LEAST_AGREEING)
-        near = near[(label[near] != label[i]) & (~minor[near] | (node[near] > node[i]))]
-        a.append(np.minimum(node[i], node[near])), b.append(np.maximum(node[i], node[near]))
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+        near = _partners(sig, band, i)
+        for j in near[label[near] != label[i]]:
+            x, y = find(int(label[i])), find(int(label[j]))
+            n, m = len(keys[i]), len(keys[j])
+            if x != y and den * min(n, m) >= num * max(n, m):
+                shared = len(np.intersect1d(keys[i], keys[j], assume_unique=True))
+                if den * shared >= num * (n + m - shared):
+                    root[max(x, y)] = min(x, y)
+                    a.append(min(node[i], node[j])), b.append(max(node[i], node[j]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs across classes that share a band. members: (key, node) of bands with several nodes."""
-    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    sizes = saved(known.groupBy("key", "label").agg(F.count("*").alias("n")), "band-classes")
-    bands = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
-    bands = bands.select("key", F.col("top.label").alias("major"), F.ceil(F.col("top.n") / CELL).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("top.n")) / CELL).cast("int").alias("minors"))
+def _cross_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across classes that share a band. members: (key, band, node) of bands with several nodes.
+
+    A band's members outside its largest class are compared with all others, in cells of bounded number and size; first
+    by signature, then those with a partner by their multisets. A cell gives at most as many links as it joins classes.
+    """
+    known = members.join(labels, "node", "left").join(nodes.select("node", "size"), "node").select("key", "band", "node", "size", F.coalesce("label", "node").alias("label"))
+    sizes = saved(known.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "band-classes")
+    bands = sizes.groupBy("key").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("n > top.n")
+    chunks = lambda n, size: F.ceil(F.greatest(n / CELL, size / CELL_SHINGLES)).cast("int")
+    bands = bands.select("key", F.col("top.label").alias("major"), chunks(F.col("top.n"), F.col("top.size")).alias("majors"), chunks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("minors"))
     rows = known.join(bands, "key").withColumn("minor", F.col("label") != F.col("major"))
     chunk = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
     # cells: a chunk of the major class against a chunk of the others, and two chunks of the others
     with_majors = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), chunk.alias("j")))
     with_minors = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: F.struct(F.lit(1).alias("kind"), F.least(i, chunk).alias("i"), F.greatest(i, chunk).alias("j")))
     own = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda j: F.struct(F.lit(0).alias("kind"), chunk.alias("i"), j.alias("j")))
-    several = F.when(F.col("minor"), F.concat(with_majors, with_minors)).otherwise(own)
-    cells = rows.withColumn("cell", F.explode(several)).join(nodes.select("node", "sig"), "node")
-    pairs = cells.select("key", "cell", "node", "label", "minor", "sig").groupBy("key", "cell").applyInArrow(_cross_class, "a long, b long")
-    return pairs.distinct()
+    # where one cell holds all, the others meet each other there
+    several = F.when(~F.col("minor"), own).when((F.col("majors") == 1) & (F.col("minors") == 1), with_majors).otherwise(F.concat(with_majors, with_minors))
+    rows = saved(rows.select("key", "band", "node", "label", "minor", several.alias("cells")), "band-members")
+    signed = rows.withColumn("cell", F.explode("cells")).drop("cells").join(nodes.select("node", "sig"), "node")
+    flagged = saved(signed.groupBy("key", "cell").applyInArrow(_flagged, "key long, node long").distinct(), "flagged")
+    again = rows.join(flagged, ["key", "node"]).join(nodes.select("node", "sig"), "node").join(sets, "node")
+    cells = again.withColumn("cell", F.explode("cells")).drop("cells")
+    return cells.groupBy("key", "cell").applyInArrow(_cell_links, "a long, b long").distinct()
 
 
 def _doc_key(id_col: str):
@@ -216,12 +265,12 @@ def _crc(text_col: str):
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Scanned rows (doc_key, crc, fold) and folded texts (fold, label, links)."""
+    """Scanned rows (doc_key, crc, fold) and folded texts (fold, doc_key, crc, label)."""
     rows = docs.select(_doc_key(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("t"))
     scanned = saved(rows.mapInArrow(_scan, _SCAN), "signatures")
-    folded = scanned.groupBy("fold").agg(F.min(F.struct("doc_key", "crc")).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = saved(folded.select(F.monotonically_increasing_id().alias("node"), "fold", "first.*", "sig", "bands"), "nodes")
-    band_rows = nodes.select("node", F.explode("bands").alias("key"))
+    folded = scanned.groupBy("fold").agg(F.min(F.struct("doc_key", "crc")).alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = saved(folded.select(F.monotonically_increasing_id().alias("node"), "fold", "first.*", "size", "sig", "bands"), "nodes")
+    band_rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = band_rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = saved(band_rows.join(hubs.select("key", "hub"), "key"), "members")
     star = saved(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
@@ -232,32 +281,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         sets = saved(sets.dropDuplicates(["node"]), "multisets")
     links = saved(_verified(star, sets), "links")
     labels = saved(components(links), "labels")
-    more = saved(_verified(_cross_pairs(members.select("key", "node"), labels, nodes), sets), "more-links")
-    links = links.union(more).distinct()
+    more = saved(_cross_links(members, labels, nodes, sets), "more-links")
     if not more.isEmpty():
-        labels = saved(components(links), "labels")
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    labelled = nodes.select("node", "fold", "doc_key", "crc").join(labels, "node", "left").join(degree, "node", "left")
-    return scanned.select("doc_key", "crc", "fold"), labelled.select("fold", "doc_key", "crc", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+        labels = saved(components(links.union(more)), "labels")
+    labelled = nodes.select("node", "fold", "doc_key", "crc").join(labels, "node", "left")
+    return scanned.select("doc_key", "crc", "fold"), labelled.select("fold", "doc_key", "crc", F.coalesce("label", "node").alias("label"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size, links) for each row of ``docs``.
+    """(doc_id, class_id, class_size) for each row of ``docs``.
 
     class_id is the smallest id among the rows linked by word-shingle similarity of 0.8 or more, directly or through
-    others; links counts the different texts found at that similarity. Rows without a word (null, empty, blank) are
+    others. Rows without a word (null, empty, blank) are
     alone: their own class, of size 1. Rows of equal word sequences share a class; a null id counts as the smallest.
     """
     scanned, folded = _classes(docs, id_col, text_col)
     folded = saved(folded, "classes")
     sizes = scanned.groupBy("fold").agg(F.count("*").alias("copies")).join(folded, "fold")
     whole = sizes.groupBy("label").agg(F.min("doc_key").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_fold = folded.select("fold", "label", "links").join(whole, "label").select("fold", "class_id", "class_size", "links")
-    found = scanned.join(by_fold, "fold").select("doc_key", "class_id", "class_size", F.col("links").cast("long").alias("links"))
+    by_fold = folded.select("fold", "label").join(whole, "label").select("fold", "class_id", "class_size")
+    found = scanned.join(by_fold, "fold").select("doc_key", "class_id", "class_size")
     has_word = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    alone = docs.filter(~has_word).select(_doc_key(id_col).alias("doc_key"), _doc_key(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"))
+    alone = docs.filter(~has_word).select(_doc_key(id_col).alias("doc_key"), _doc_key(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     missing = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return found.union(alone).select(missing("doc_key").alias("doc_id"), missing("class_id").alias("class_id"), "class_size", "links")
+    return found.union(alone).select(missing("doc_key").alias("doc_id"), missing("class_id").alias("class_id"), "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
