@@ -49,7 +49,9 @@ SEPARATORS = r"\.|\(dot\)|\[dot]|dot|,|-|_|\*"
 DIRECT_DOMAIN = rf"(?i){B}(?:[a-z0-9-]+\s*(?:{SEPARATORS})\s*)+(?:{{tlds}})(?:\s*:\s*\d{{{{1,5}}}})?{B}"
 SQUISHED_DOMAIN = rf"(?i){B}[a-z0-9-]{{{{3,}}}}(?:{{tlds}}){B}"
 DISCORD = rf"(?i)discord\s*(?:{SEPARATORS}|\s)+(?:gg/\w+|com/invite/\w+)"
-INVITE = rf"(?i)(?:join\s+(?:my\s+)?server|{B}ip:\s*[a-z0-9.\s]+|{B}join\s+\w+(?:\s*,?\s*\w+)+[,.:]\s*\d{{3,5}})"
+# The third phrase is \bjoin\s+\w+(?:\s*,?\s*\w+)+[,.:]\s*\d{3,5}, written without nested repetition: it stops at the first
+# place where the number follows, so long texts need neither backtracking nor stack.
+INVITE = rf"(?i)(?:join\s+(?:my\s+)?server|{B}ip:\s*[a-z0-9.\s]+|{B}join\s+\w\s*+,?\s*+\w(?:(?![,.:]\s*\d{{3}})\s*+,?\s*+\w)*+[,.:]\s*\d{{3,5}})"
 
 # Two-letter words that are always common.
 TWO_LETTER_WORDS = ("am", "an", "as", "at", "be", "by", "do", "go", "he", "hi", "if", "in", "is", "it", "my", "no", "of", "oh", "ok", "on", "or", "so", "to", "up", "us", "we", "ye")

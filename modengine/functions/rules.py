@@ -43,7 +43,7 @@ def repeated_character(text: Column, most: int) -> Column:
 
 def server_name(text: Column, names: Iterable[str]) -> Column:
     """The first in order of the listed names that stands as a word in a text without line breaks; null if none does."""
-    found = [F.when(F.lower(collapse_repeats(text)).rlike(rf"\A.*{B}\Q{n.lower()}\E{B}.*\z"), F.lit(n.lower())) for n in sorted(set(names))]
+    found = [F.when(F.lower(collapse_repeats(text)).rlike(rf"\A.*{B}\Q{n}\E{B}.*\z"), F.lit(n)) for n in sorted({n.lower() for n in names})]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 

@@ -1,7 +1,8 @@
 """The stateful rules on streams, and the sink that keeps statistics.
 
-State is a user's recent messages within the window, so it is bounded by the window, and ends when the user has been
-silent for one. Messages of a user are taken in order of (ts, msg_id) within a micro-batch.
+State is a user's recent messages within the window, so it is bounded by the window, and ends when the watermark has
+passed the last of them by one. Messages of a user are taken in order of (ts, msg_id) within a micro-batch; those later
+than the watermark's delay are dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,17 @@ def _batch(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(["ms", "msg_id"])
 
 
-def rate_counts_stream(messages: DataFrame, seconds: int) -> DataFrame:
+def _until(state: GroupState, ms: int) -> None:
+    """End the state once the watermark passes ``ms``."""
+    state.setTimeoutTimestamp(max(ms, state.getCurrentWatermarkMs()) + 1)
+
+
+def _keyed(messages: DataFrame, delay: str, *columns) -> DataFrame:
+    rows = messages.filter("user_id is not null").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
+    return rows.select(F.col("user_id").cast("string").alias("user_id"), "msg_id", "at", millis(F.col("at")).alias("ms"), *columns)
+
+
+def rate_counts_stream(messages: DataFrame, seconds: int, delay: str = "1 minute") -> DataFrame:
     """(user_id, msg_id, in_window) as ``operators.limits.rate_counts`` gives on a table."""
     window = seconds * 1000
 
@@ -39,11 +50,10 @@ def rate_counts_stream(messages: DataFrame, seconds: int) -> DataFrame:
             recent = [t for t in recent if t >= row.ms - window]
             out.append((key[0], int(row.msg_id), len(recent)))
         state.update((recent,))
-        state.setTimeoutDuration(max(window, 1))
+        _until(state, recent[-1] + window)
         yield pd.DataFrame(out, columns=["user_id", "msg_id", "in_window"])
 
-    rows = messages.filter("user_id is not null").select(F.col("user_id").cast("string").alias("user_id"), "msg_id", millis(F.col("ts")).alias("ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, RATE_OUT, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _keyed(messages, delay).groupBy("user_id").applyInPandasWithState(step, RATE_OUT, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _distance(a: str, b: str) -> int:
@@ -55,7 +65,7 @@ def _distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def flood_counts_stream(messages: DataFrame, seconds: int, least: float, text_col: str = "normalized") -> DataFrame:
+def flood_counts_stream(messages: DataFrame, seconds: int, least: float, text_col: str = "normalized", delay: str = "1 minute") -> DataFrame:
     """(user_id, msg_id, similar): similar messages of the user before each one in the window."""
     window = seconds * 1000
 
@@ -74,11 +84,10 @@ def flood_counts_stream(messages: DataFrame, seconds: int, least: float, text_co
             out.append((key[0], int(row.msg_id), sum(alike(text, row.text) for _, text in recent)))
             recent.append((int(row.ms), row.text))
         state.update(([t for t, _ in recent], [text for _, text in recent]))
-        state.setTimeoutDuration(max(window, 1))
+        _until(state, recent[-1][0] + window)
         yield pd.DataFrame(out, columns=["user_id", "msg_id", "similar"])
 
-    rows = messages.filter("user_id is not null").select(F.col("user_id").cast("string").alias("user_id"), "msg_id", millis(F.col("ts")).alias("ms"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, FLOOD_OUT, "times array<long>, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _keyed(messages, delay, F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("user_id").applyInPandasWithState(step, FLOOD_OUT, "times array<long>, texts array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stats_sink(path: str):
