@@ -122,34 +122,34 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z\s]", "")
 
 
-def _placed(words: Column) -> Column:
-    """array of (start, word): where each token starts in the text without blanks."""
-    empty = F.array().cast("array<struct<start:int,word:string>>")
-    grown = F.aggregate(words, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda s, t: F.struct((s["at"] + F.length(t)).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), t.alias("word")))).alias("out")))
-    return grown["out"]
+def _cover(words: Column, at: Column, length: Column) -> Column:
+    """struct(first, low, high): where the first covered token starts in the joined text, and the covered positions."""
+    start = F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("first"), F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(1).alias("i"))
 
+    def step(s: Column, t: Column) -> Column:
+        end = s["pos"] + F.length(t)
+        covers = (s["pos"] < at + length) & (end > at)
+        opens = covers & (s["low"] == 0)
+        return F.struct(end.alias("pos"), F.when(opens, s["pos"]).otherwise(s["first"]).alias("first"), F.when(opens, s["i"]).otherwise(s["low"]).alias("low"), F.when(covers, s["i"]).otherwise(s["high"]).alias("high"), (s["i"] + 1).alias("i"))
 
-def _covers(placed: Column, squished: Column, word: Column) -> Column:
-    """The tokens that the first occurrence of ``word`` touches."""
-    at = F.position(word, squished) - 1
-    return F.filter(placed, lambda p: (p["start"] < at + F.length(word)) & (p["start"] + F.length(p["word"]) > at))
+    return F.aggregate(words, start, step)
 
 
 def spaced_hits(text: Column, lexicon: Lexicon) -> Column:
-    """array of (word, at, first, blob, tokens): occurrences of fuzzy words across the blanks of a text."""
+    """array of (word, at, first, blob, tokens): first occurrences of fuzzy words in a text without its blanks.
 
-    def hits(words: Column) -> Column:
-        squished = F.array_join(words, "")
+    Null where no word occurs. Linear in the text for each word that does.
+    """
 
-        def hit(word: Column, placed: Column) -> Column:
-            over = _covers(placed, squished, word)
-            cover = F.transform(over, lambda p: p["word"])
-            return F.struct(word.alias("word"), (F.position(word, squished) - 1).alias("at"), F.get(over, F.lit(0))["start"].alias("first"), F.array_join(cover, "").alias("blob"), cover.alias("tokens"))
+    def hits(words: Column, squished: Column) -> Column:
+        def hit(word: Column) -> Column:
+            made = lambda at: _let(_cover(words, at, F.length(word)), lambda c: _let(F.slice(words, c["low"], c["high"] - c["low"] + 1), lambda cover: F.struct(word.alias("word"), at.alias("at"), c["first"].alias("first"), F.array_join(cover, "").alias("blob"), cover.alias("tokens"))))
+            return _let(F.position(word, squished) - 1, made)
 
         present = F.filter(strings(lexicon.fuzzy), lambda w: F.position(w, squished) > 0)
-        return F.when(F.size(present) > 0, _let(_placed(words), lambda placed: F.transform(present, lambda w: hit(w, placed))))
+        return _let(present, lambda p: F.when(F.size(p) > 0, F.transform(p, hit)))
 
-    return _let(tokens(_letters(text)), hits)
+    return _let(tokens(_letters(text)), lambda words: _let(F.array_join(words, ""), lambda squished: hits(words, squished)))
 
 
 def obfuscated(text: Column, common: Column, lexicon: Lexicon) -> Column:
