@@ -96,6 +96,8 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     A value without tokens cannot get any: its target is left out and the others are scaled to one.
     """
     mass = tokens.astype(float)
+    if not len(mass):
+        return mass
     total = mass.sum()
     wanted = []
     for code, target in zip(codes, targets, strict=True):

@@ -127,8 +127,13 @@ def verified(found: DataFrame, rounds: int = 64) -> DataFrame:
 
 def _joined(spark: SparkSession, path: str, found: DataFrame, split: DataFrame) -> DataFrame:
     """(file, at, payload_bytes, payload_digest) of the records in ``split``, put together from their pieces."""
-    spans = split.select("file", F.col("at").alias("from"), "next", "head_bytes", "size")
-    parts = found.join(spans, "file").filter("at >= from and at < next").select("file", "split", "rank", "at", "from", found["bytes"], spans["head_bytes"].alias("h"), spans["size"].alias("s"))
+    spans = split.select("file", F.col("at").alias("from"), F.col("next").alias("to"), F.col("head_bytes").alias("h"), F.col("size").alias("s"))
+    # spans of a file do not overlap, so the last one that starts before a piece is the only one that can hold it
+    places = found.filter("at is not null").select("file", "split", "rank", "at", F.lit(None).cast("struct<from:long,to:long,h:long,s:long>").alias("span"))
+    opens = spans.select("file", F.lit(None).cast("long").alias("split"), F.lit(None).cast("int").alias("rank"), F.col("from").alias("at"), F.struct("from", "to", "h", "s").alias("span"))
+    order = Window.partitionBy("file").orderBy("at", F.col("span").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    within = places.union(opens).withColumn("span", F.last("span", ignorenulls=True).over(order))
+    parts = within.filter("rank is not null and at < span.to").select("file", "split", "rank", "at", "span.from", "span.h", "span.s")
     raw = _pieces(spark, path).join(spans.select("file").distinct(), "file", "left_semi")
     raw = raw.withColumn("rank", F.row_number().over(Window.partitionBy("file", "split").orderBy("nth")))
     whole = raw.join(parts, ["file", "split", "rank"]).groupBy("file", "from", "h", "s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
