@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 from typing import Any
 
+from pyspark.errors import IllegalArgumentException
+
 log = logging.getLogger(__name__)
 
 
@@ -141,10 +143,8 @@ def java_regex_check(spark):
     def valid(pattern: str) -> bool:
         try:
             spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-        except Exception as error:
-            if "PatternSyntaxException" in str(error):
-                return False
-            raise
+        except IllegalArgumentException:  # a syntax error is one
+            return False
         return True
 
     return valid

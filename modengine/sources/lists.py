@@ -18,7 +18,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_user_set(spark: SparkSession, path: str) -> DataFrame:
     """(user_id) of a JSON list of ids; entries that are no ids are left out, a broken file is empty."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     ids = text.select(F.explode(F.from_json("value", "array<string>")).alias("user_id"))
     return ids.filter(F.col("user_id").rlike(UUID)).select(F.lower("user_id").alias("user_id")).distinct()
 
