@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modengine.llm.components import components
-from modengine.llm.scratch import fresh_name, saved
+from modengine.llm.scratch import fresh_name, kept, saved, temporary_tables
 from modengine.llm.wordhash import U64, hash_words, mix, row_slices, texts_of, window_hashes
 
 SHINGLE = 5
@@ -295,12 +295,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     others. Rows without a word (null, empty, blank) are
     alone: their own class, of size 1. Rows of equal word sequences share a class; a null id counts as the smallest.
     """
-    scanned, folded = _classes(docs, id_col, text_col)
-    folded = saved(folded, "classes")
-    sizes = scanned.groupBy("fold").agg(F.count("*").alias("copies")).join(folded, "fold")
-    whole = sizes.groupBy("label").agg(F.min("doc_key").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_fold = folded.select("fold", "label").join(whole, "label").select("fold", "class_id", "class_size")
-    found = scanned.join(by_fold, "fold").select("doc_key", "class_id", "class_size")
+    with temporary_tables(docs.sparkSession):
+        scanned, folded = _classes(docs, id_col, text_col)
+        folded = saved(folded, "classes")
+        sizes = scanned.groupBy("fold").agg(F.count("*").alias("copies")).join(folded, "fold")
+        whole = sizes.groupBy("label").agg(F.min("doc_key").alias("class_id"), F.sum("copies").alias("class_size"))
+        by_fold = folded.select("fold", "label").join(whole, "label").select("fold", "class_id", "class_size")
+        found = kept(scanned.join(by_fold, "fold").select("doc_key", "class_id", "class_size"), "near-duplicates")
     has_word = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     alone = docs.filter(~has_word).select(_doc_key(id_col).alias("doc_key"), _doc_key(id_col).alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     missing = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
@@ -309,10 +310,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, the one of the smallest id; rows without a word all stay."""
-    _, folded = _classes(docs, id_col, text_col)
     key, crc, nth = (fresh_name(docs, k) for k in ("key", "crc", "nth"))
-    keepers = folded.groupBy("label").agg(F.min(F.struct("doc_key", "crc")).alias("k")).select(F.col("k.doc_key").alias(key), F.col("k.crc").alias(crc))
+    with temporary_tables(docs.sparkSession):
+        _, folded = _classes(docs, id_col, text_col)
+        first = folded.groupBy("label").agg(F.min(F.struct("doc_key", "crc")).alias("k"))
+        keepers = kept(first.select(F.col("k.doc_key").alias(key), F.col("k.crc").alias(crc)), "keepers")
     wordless = ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.withColumns({key: _doc_key(id_col), crc: _crc(text_col)}).join(keepers.withColumn(nth, F.lit(True)), [key, crc], "left").filter(F.col(nth) | wordless)
+    rows = docs.withColumns({key: _doc_key(id_col), crc: _crc(text_col)}).join(keepers.withColumn(nth, F.lit(True)), [key, crc], "left").filter(F.col(nth) | wordless)
     order = Window.partitionBy(key, crc).orderBy(key)
-    return kept.withColumn(nth, F.row_number().over(order)).filter((F.col(nth) == 1) | wordless).select(*docs.columns)
+    return rows.withColumn(nth, F.row_number().over(order)).filter((F.col(nth) == 1) | wordless).select(*docs.columns)

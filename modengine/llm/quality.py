@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modengine.llm.scratch import fresh_name, saved
+from modengine.llm.scratch import fresh_name, kept, saved, temporary_tables
 
 BLANKS = r"[ \t-\r]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -49,7 +49,9 @@ def measures(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     twice = F.filter(order, lambda x, i: F.coalesce(x["h"] == F.get(order, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(order, i + 1)["h"], F.lit(False)))
     step = step.select(*keep, text, F.sort_array(F.transform(twice, lambda x: x["i"])).alias(names["places"]))
     covered = F.aggregate(F.transform(places, lambda p, k: F.coalesce(F.least(F.lit(REPEAT_WINDOW), p - F.get(places, k - 1)), F.lit(REPEAT_WINDOW))), F.lit(0).cast("long"), lambda total, n: total + n)
-    return step.select(*keep, F.struct(text["n_words"].alias("n_words"), text["word_chars"].alias("word_chars"), (text["n_symbols"] - 1).alias("n_symbols"), text["n_lines"].alias("n_lines"), text["n_dup_lines"].alias("n_dup_lines"), covered.alias("n_repeat_words")).alias(out))
+    made = F.struct(text["n_words"].alias("n_words"), text["word_chars"].alias("word_chars"), (text["n_symbols"] - 1).alias("n_symbols"), text["n_lines"].alias("n_lines"), text["n_dup_lines"].alias("n_dup_lines"), covered.alias("n_repeat_words"))
+    # a filter on the measures must not be pushed below them: it would repeat their expressions for each use
+    return step.select(*keep, F.when(F.monotonically_increasing_id() >= 0, made).alias(out))
 
 
 def base_failed(m: Column) -> Column:
@@ -104,12 +106,17 @@ def limits(sketch: DataFrame) -> DataFrame:
     return both.select("lang", "source", F.when(F.col("fine_n") >= MIN_DOCS, F.col("fine")).when(F.col("mid_n") >= MIN_DOCS, F.col("mid")).otherwise(F.col("all")).alias("limits"))
 
 
-def judged(measured: DataFrame, m: str, out: str, group: tuple[str, str] = ("lang", "source"), broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """``measured`` with a boolean ``out``: passes the base rules and its group's limits.
+def learned_limits(measured: DataFrame, m: str, group: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """The table of ``limits`` from all rows of ``measured``."""
+    with temporary_tables(measured.sparkSession):
+        return kept(limits(saved(sketches(measured, m, list(group)), "quality-sketches")), "quality-limits")
+
+
+def judged(measured: DataFrame, m: str, out: str, table: DataFrame, group: tuple[str, str] = ("lang", "source"), broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """``measured`` with a boolean ``out``: passes the base rules and the limits of its group in ``table``.
 
     Null languages and sources are groups like others. A group of which no document passes the base rules has no limits.
     """
-    table = saved(limits(saved(sketches(measured, m, list(group)), "quality-sketches")), "quality-limits")
     names = {k: fresh_name(measured, f"{out}_{k}") for k in ("lang", "source", "limits", "salt")}
     table = table.toDF(names["lang"], names["source"], names["limits"])
     on = F.col(group[0]).eqNullSafe(F.col(names["lang"])) & F.col(group[1]).eqNullSafe(F.col(names["source"]))
@@ -131,14 +138,17 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """A row for each row of ``docs``: the base measures, base_failed and kept. Null text has no words and fails."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(group[0]).alias("lang"), F.col(group[1]).alias("source"))
     measured = saved(measures(slim, "text", "m").drop("text"), "quality-measures")
-    rows = judged(measured, "m", "kept")
+    rows = judged(measured, "m", "kept", learned_limits(measured, "m"))
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return rows.select("doc_id", *[F.col(f"m.{f}").alias(f) for f in fields], base_failed(F.col("m")).alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", group: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    m = fresh_name(docs, "measures")
-    measured = saved(measures(docs, text_col, m), "quality-measured")
-    kept = fresh_name(measured, "kept")
-    return judged(measured, m, kept, group).filter(F.col(kept)).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns.
+
+    Measures are made twice, for the limits and for the verdicts, rather than written with the texts in between.
+    """
+    m, passed = fresh_name(docs, "measures"), fresh_name(docs, "passed")
+    measured = measures(docs, text_col, m)
+    slim = measures(docs.select(*dict.fromkeys((text_col, *group))), text_col, m).select(*dict.fromkeys(group), m)
+    return judged(measured, m, passed, learned_limits(slim, m, group), group).filter(F.col(passed)).select(*docs.columns)

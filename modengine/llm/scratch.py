@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +21,27 @@ def scratch_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Folder that tables of the running operator go to; see ``temporary_tables``.
+_folder: ContextVar[str | None] = ContextVar("modengine-scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/modengine/{label}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or scratch_root(spark) + '/modengine'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables ``saved`` inside are deleted at the end: what is returned must be ``kept``, or not depend on them."""
+    path = scratch_path(spark, "temporary")
+    before = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        context = spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -31,6 +52,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``saved`` outside the innermost ``temporary_tables``."""
+    inner = _folder.get()
+    before = _folder.set(inner.rsplit("/", 1)[0] if inner else None)
+    try:
+        return saved(df, label)
+    finally:
+        _folder.reset(before)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, in any case."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modengine.llm.scratch import saved, scratch_path
+from modengine.llm.scratch import kept, saved, scratch_path, temporary_tables
 
 MAGIC = "WARC/1.0\r\n"
 BREAK = "\r\n\r\n"
@@ -143,17 +143,19 @@ def _joined(spark: SparkSession, path: str, found: DataFrame, split: DataFrame)
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record that the chain reaches."""
-    found = saved(candidates(spark, path), "warc-places")
-    records = saved(verified(found), "warc-records")
-    split = records.filter("payload_digest is null")
-    if split.isEmpty():
-        records = records.withColumns({"joined_bytes": F.lit(None).cast("long"), "joined_digest": F.lit(None).cast("string")})
-    else:
-        records = records.join(_joined(spark, path, found, split), ["file", "at"], "left")
-    revisit = F.col("record_type") == "revisit"
-    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    digest = F.when(revisit, F.regexp_replace("told_digest", "^sha1:", "")).otherwise(F.coalesce("joined_digest", "payload_digest"))
-    return records.select(number("record_id").alias("page_id"), F.when(revisit, F.col("told_bytes")).otherwise(F.coalesce("joined_bytes", "payload_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.when(revisit, number("refers")).alias("refers_to"))
+    with temporary_tables(spark):
+        found = saved(candidates(spark, path), "warc-places")
+        records = saved(verified(found), "warc-records")
+        split = records.filter("payload_digest is null")
+        if split.isEmpty():
+            records = records.withColumns({"joined_bytes": F.lit(None).cast("long"), "joined_digest": F.lit(None).cast("string")})
+        else:
+            records = records.join(_joined(spark, path, found, split), ["file", "at"], "left")
+        revisit = F.col("record_type") == "revisit"
+        number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+        digest = F.when(revisit, F.regexp_replace("told_digest", "^sha1:", "")).otherwise(F.coalesce("joined_digest", "payload_digest"))
+        read = records.select(number("record_id").alias("page_id"), F.when(revisit, F.col("told_bytes")).otherwise(F.coalesce("joined_bytes", "payload_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.when(revisit, number("refers")).alias("refers_to"))
+        return kept(read, "warc-read")
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
