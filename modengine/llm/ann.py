@@ -30,7 +30,7 @@ CELL = 20_000
 #: Entries that the mean bucket of a table has, about.
 BUCKET = 200
 #: Tables, and keys that a query looks into in each, for up to ``BASE_KEYS`` keys; beyond, they grow with the keys.
-TABLES, PROBES, BASE_KEYS = 8, 16, 128
+TABLES, PROBES, BASE_KEYS = 8, 10, 128
 TABLES_POWER, PROBES_POWER = 0.25, 0.5
 ROUNDS = 3
 
