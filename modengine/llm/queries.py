@@ -80,9 +80,13 @@ WITH words AS (
          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
+), tokens AS (
+  SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM words
+), windows AS (
+  SELECT id, p, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS gram
+  FROM tokens WINDOW o AS (PARTITION BY id ORDER BY p)
 ), grams AS (
-  SELECT id, p, count(*) OVER (PARTITION BY id, array_to_string(ws[p:p + 4], ' ')) AS n
-  FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS p FROM words WHERE len(ws) >= 5)
+  SELECT id, p, count(*) OVER (PARTITION BY id, gram) AS n FROM windows WHERE gram IS NOT NULL
 ), repeats AS (
   SELECT id, count(DISTINCT q) AS n FROM (SELECT id, unnest(range(p, p + 5)) AS q FROM grams WHERE n > 1) GROUP BY id
 ), m AS (
