@@ -2,8 +2,9 @@
 
 Both supported tokenizer kinds cut text into words before they merge bytes, and a cut always falls between a visible
 character and the blank behind it, and between a letter and a following character that is neither letter nor apostrophe.
-Texts are cut there and each distinct piece is encoded by the library once for a worker's lifetime (the memory is
-emptied when full). Texts with other blanks than space and line feed are encoded whole.
+Texts are cut there and the library encodes a piece only if the worker does not remember it. Where words are apart by
+single blanks, whole words with their punctuation are remembered too, so that most of a text is not even cut. Texts with
+other blanks than space and line feed are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,18 +15,47 @@ from pathlib import Path
 
 import numpy as np
 
-#: Pieces that a worker remembers.
-REMEMBERED = 400_000
+#: Entries of each generation of a memory. A full one becomes the old generation, from which what is used again moves on.
+REMEMBERED = 200_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 _OTHER_BLANK = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 #: Characters outside those whose class (letter or not) the piece pattern knows.
 _UNKNOWN = re.compile(rf"[^ \n!-~{_LETTERS}€£«»“”‘’–—…¿¡§°©®™]")
 _PIECES = re.compile(rf"[ \n]*[{_LETTERS}]++(?![{_LETTERS}'])|[ \n]*[^ \n{_LETTERS}']++(?!')|[ \n]*[^ \n]+|[ \n]+")
 _PIECES_TIGHT = re.compile(rf"[{_LETTERS}]++(?![{_LETTERS}'])|[^ \n{_LETTERS}']++(?!')|[^ \n]+")
+_MARKS = frozenset(".,;:!?)")
 _CHUNKS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _CHUNKS_TIGHT = re.compile(r"[^ \n]+")
 
 
+def _word_pieces(word: str, blank: str) -> list[str] | None:
+    """The pieces of a word of letters, or of letters and one mark; null for any other."""
+    if word.isalpha():
+        return [blank + word]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [blank + word[:-1], word[-1]]
+    return None
+
+
+class _Memory(dict):
+    """A bounded dict of two generations."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit integers, without special ids.
 
@@ -39,9 +69,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        cut = json.dumps(json.loads(Path(path).read_text())["pre_tokenizer"])
-        self.drops_blanks = '"Removed"' in cut
-        self.memory: dict[str, bytes] = {}
+        parts = json.loads(Path(path).read_text())
+        self.drops_blanks = '"Removed"' in json.dumps(parts["pre_tokenizer"])
+        self.lowers = '"Lowercase"' in json.dumps(parts["normalizer"])
+        self.pieces, self.words = _Memory(), _Memory()
+        self.separator: int | None = None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -56,20 +88,90 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> list[str] | None:
-        if _OTHER_BLANK.search(text):
-            return None
-        if _UNKNOWN.search(text):
-            return (_CHUNKS_TIGHT if self.drops_blanks else _CHUNKS).findall(text)
-        return (_PIECES_TIGHT if self.drops_blanks else _PIECES).findall(text)
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, many at a time in one text where a separator with an id of its own stands between them.
+
+        The separator is a line feed (a word of its own between a visible character and a blank or letter), or, where
+        blanks are dropped, a digit between blanks (digits are words of their own). Pieces that hold it go by themselves.
+        """
+        mark = "0" if self.drops_blanks else "\n"
+        if self.separator is None:
+            ids = np.frombuffer(self._library([mark])[0], "<u4")
+            self.separator = int(ids[0]) if len(ids) == 1 else -1
+        safe = [i for i, p in enumerate(pieces) if mark not in p and not p[-1:].isspace()] if self.separator >= 0 else []
+        out: list[bytes | None] = [None] * len(pieces)
+        for at in range(0, len(safe), 1000):
+            some = safe[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" 0 " if self.drops_blanks else "\n").join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.separator)
+            if len(cuts) == len(some) - 1:
+                raw, begin, end = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+                for i, x, y in zip(some, begin, end, strict=True):
+                    out[i] = raw[x:y]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(left, self._library([pieces[i] for i in left]), strict=True):
+            out[i] = ids
+        return out
+
+    def _joined(self, cuts: list[list[str]]) -> list[bytes]:
+        """The ids of texts given as lists of pieces."""
+        self.pieces.turn()
+        look = self.pieces.__getitem__
+        new = list({p for cut in cuts for p in cut if look(p) is None})
+        made = dict(self.pieces) if len(new) > REMEMBERED else self.pieces
+        for i in range(0, len(new), 20_000):
+            made.update(zip(new[i : i + 20_000], self._encode_pieces(new[i : i + 20_000]), strict=True))
+        return [b"".join([made[p] for p in cut]) for cut in cuts]
+
+    def _plan(self, text: str) -> tuple[list[str], bool] | None:
+        """A text's words (true: each but the first stands behind one blank), or its pieces (false), or null."""
+        if _UNKNOWN.search(text):  # other blanks are among these
+            if _OTHER_BLANK.search(text):
+                return None
+            return (_CHUNKS_TIGHT if self.drops_blanks else _CHUNKS).findall(text), False
+        if self.drops_blanks:
+            return (text.lower() if self.lowers else text).split(), True
+        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+            return _PIECES.findall(text), False
+        first, *rest = text.split(" ")
+        return [first, *rest], True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        memory = self.memory
-        new = list({p for pieces in cut if pieces for p in pieces if p not in memory})
-        if len(memory) + len(new) > REMEMBERED:
-            memory = self.memory = {}
-            new = list({p for pieces in cut if pieces for p in pieces})
-        for i in range(0, len(new), 20_000):
-            memory.update(zip(new[i : i + 20_000], self._library(new[i : i + 20_000]), strict=True))
-        return [self._library([t])[0] if pieces is None else b"".join([memory[p] for p in pieces]) for t, pieces in zip(texts, cut, strict=True)]
+        plans = [self._plan(t) for t in texts]
+        self.words.turn()
+        look, blank = self.words.__getitem__, "" if self.drops_blanks else " "
+        cut = _PIECES_TIGHT if self.drops_blanks else _PIECES
+        found, cuts, slots, new = [], [], [], {}
+        for i, plan in enumerate(plans):
+            if plan is None:
+                found.append(None)
+            elif not plan[1]:
+                found.append(None)
+                cuts.append(plan[0])
+                slots.append(i)
+            else:
+                # the first word has no blank before it, so it is not looked up among the others
+                skip = 0 if self.drops_blanks else 1
+                ids = list(map(look, plan[0][skip:]))
+                if None in ids:
+                    new.update((w, None) for w, b in zip(plan[0][skip:], ids, strict=True) if b is None)
+                found.append(ids)
+                if skip:
+                    cuts.append(cut.findall(plan[0][0]))
+                    slots.append(i)
+        unknown = list(new)
+        joined = self._joined([*cuts, *(_word_pieces(w, blank) or cut.findall(blank + w) for w in unknown)])
+        new = dict(zip(unknown, joined[len(cuts) :], strict=True))
+        self.words.update(new)
+        heads = dict(zip(slots, joined, strict=False))
+        out = []
+        for i, (text, plan, ids) in enumerate(zip(texts, plans, found, strict=True)):
+            if plan is None:
+                out.append(self._library([text])[0])
+            elif ids is None:
+                out.append(heads[i])
+            else:
+                skip = 0 if self.drops_blanks else 1
+                rest = [b if b is not None else new[w] for w, b in zip(plan[0][skip:], ids, strict=True)] if None in ids else ids
+                out.append(heads.get(i, b"") + b"".join(rest))
+        return out
