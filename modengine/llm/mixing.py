@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from modengine.llm.scratch import fresh_name, saved
 from modengine.llm.wordhash import U64, hash_words, row_slices, texts_of
@@ -41,17 +41,34 @@ CHUNK_BYTES = 1 << 20
 DIMENSIONS = ("source", "lang", "topic")
 
 
-def _measure(text_at: int, names: list[str]):
-    """All columns of each row, its number of words, and its hashed word frequencies (bytes, largest 255)."""
+def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and its hashed word frequencies as bytes (largest 255)."""
+    words, counts = hash_words(texts)
+    cell = np.repeat(np.arange(len(counts)), counts) * FEATURES + (words % U64(FEATURES)).astype(np.int64)
+    f = np.sqrt(np.bincount(cell, minlength=len(counts) * FEATURES).reshape(-1, FEATURES))
+    return counts, np.rint(255 * f / np.maximum(f.max(1, keepdims=True, initial=0), 1)).astype(np.uint8)
+
+
+def _measure(text_at: int, keep: list[int], names: list[str]):
+    """Columns ``keep`` of each row, its number of words, and its frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, whole.schema.names[text_at], CHUNK_BYTES):
-                words, counts = hash_words(texts_of(batch.column(text_at)))
-                cell = np.repeat(np.arange(len(counts)), counts) * FEATURES + (words % U64(FEATURES)).astype(np.int64)
-                f = np.sqrt(np.bincount(cell, minlength=len(counts) * FEATURES).reshape(-1, FEATURES))
-                f = np.rint(255 * f / np.maximum(f.max(1, keepdims=True, initial=0), 1)).astype(np.uint8) if len(f) else f
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array([r.tobytes() for r in f], pa.binary())], names)
+                counts, f = _frequencies(texts_of(batch.column(text_at)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(counts, pa.int64()), pa.array([r.tobytes() for r in f], pa.binary())], names)
+
+    return run
+
+
+def _assign(text_at: int, names: list[str], centres: np.ndarray):
+    """All columns of each row, its number of words, and its topic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, whole.schema.names[text_at], CHUNK_BYTES):
+                counts, f = _frequencies(texts_of(batch.column(text_at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(nearest_topic(f.astype(float), centres))], names)
 
     return run
 
@@ -76,11 +93,12 @@ def _unpack(rows) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, FEATURES).astype(float)
 
 
-def _topic(features: Column, centres: np.ndarray) -> Column:
-    def assign(column: pd.Series) -> pd.Series:
-        return pd.Series(np.argmax(_unpack(column) @ centres.T, 1).astype(np.int32))
+def nearest_topic(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(features @ centres.T, 1).astype(np.int32)
 
-    return F.pandas_udf(assign, "int")(features)
+
+def _topic(features: Column, centres: np.ndarray) -> Column:
+    return F.pandas_udf(lambda column: pd.Series(nearest_topic(_unpack(column), centres)), "int")(features)
 
 
 def tempered(shares: Mapping, power: float = TEMPER) -> dict:
@@ -180,15 +198,26 @@ def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping], budget: float,
     return now.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"), F.lit(high).alias("factor"))
 
 
-def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col: str, lang_col: str, targets: Mapping[str, Mapping] | None, budget: float, driver_cells: int, seed: int) -> DataFrame:
-    """``docs`` with a struct ``out``: topic, n_tokens, weight, probability, sampled."""
+def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col: str, lang_col: str, targets: Mapping[str, Mapping] | None, budget: float, driver_cells: int, seed: int, texts: bool) -> DataFrame:
+    """``docs`` with a struct ``out``: topic, n_tokens, weight, probability, sampled. Without ``texts``, that column goes.
+
+    Texts are read twice where they stay, rather than written in between.
+    """
     words, feats, topic = (fresh_name(docs, f"{out}_{k}") for k in ("words", "features", "topic"))
-    schema = StructType([*docs.schema.fields, StructField(words, LongType()), StructField(feats, BinaryType())])
-    measured = saved(docs.mapInArrow(_measure(docs.columns.index(text_col), schema.names), schema), "mix-measured")
-    sample = measured.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), feats).orderBy("h", feats).limit(SAMPLE).collect()
+    at, fields = docs.columns.index(text_col), docs.schema.fields
+    keep = [i for i, f in enumerate(fields) if i != at and (not texts or f.name in (id_col, source_col, lang_col))]
+    schema = StructType([*(fields[i] for i in keep), StructField(words, LongType()), StructField(feats, BinaryType())])
+    measured = saved(docs.mapInArrow(_measure(at, keep, schema.names), schema), "mix-measured")
+    # some four times the sample pass the bound on the hash, however many tasks there are
+    bound = min(2**63 - 1, -(2**63) + (4 * SAMPLE << 64) // max(1, measured.count()))
+    hashed = measured.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), feats).filter(F.col("h") <= F.lit(bound))
+    sample = hashed.orderBy("h", feats).limit(SAMPLE).collect()
     centres = fit_topics(_unpack([r[1] for r in sample]))
     rows = measured.withColumn(topic, _topic(F.col(feats), centres)).drop(feats)
     cells = saved(rows.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(words).alias("tokens")), "mix-cells")
+    if texts:
+        full = StructType([*fields, StructField(words, LongType()), StructField(topic, IntegerType())])
+        rows = docs.mapInArrow(_assign(at, full.names, centres), full)
     if targets is None or any(d not in targets for d in DIMENSIONS):
         targets = {d: tempered(m) for d, m in _marginals(cells).items()} | dict(targets or {})
     few = cells.count() <= driver_cells
@@ -206,7 +235,7 @@ def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col:
     p, w = F.col(names["probability"]), F.col(names["weight"])
     multiplier = F.when(p > 0, w * F.col(names["factor"]) / p).otherwise(F.lit(0.0))
     made = F.struct(F.col(topic).alias("topic"), F.col(words).alias("n_tokens"), w.alias("weight"), p.alias("probability"), multiplier.alias("multiplier"), (draw < p).alias("sampled"))
-    return joined.select(*docs.columns, made.alias(out))
+    return joined.select(*[c for c in docs.columns if texts or c != text_col], made.alias(out))
 
 
 def mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = DRIVER_CELLS, seed: int = SEED) -> DataFrame:
@@ -218,11 +247,11 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budge
     beyond its probability.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    measured = _decided(slim, "mix", "doc_id", "text", "source", "lang", targets, budget, driver_cells, seed)
+    measured = _decided(slim, "mix", "doc_id", "text", "source", "lang", targets, budget, driver_cells, seed, texts=False)
     return measured.select("doc_id", "source", "lang", "mix.*")
 
 
 def sample_mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = DRIVER_CELLS, seed: int = SEED) -> DataFrame:
     """The drawn rows of ``docs``, with their columns."""
     out = fresh_name(docs, "mix")
-    return _decided(docs, out, id_col, text_col, source_col, lang_col, targets, budget, driver_cells, seed).filter(F.col(out)["sampled"]).select(*docs.columns)
+    return _decided(docs, out, id_col, text_col, source_col, lang_col, targets, budget, driver_cells, seed, texts=True).filter(F.col(out)["sampled"]).select(*docs.columns)
