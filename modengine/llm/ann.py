@@ -14,6 +14,7 @@ vector that fills a third of the table is one entry with ``k + 1`` ids. Buckets
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import product
 
@@ -119,20 +120,28 @@ def _index(widths: tuple[int, ...], tables: int, probes: int):
     return run
 
 
+_FOUND = "query_id long, row long, near array<struct<score:double,entry:long>>"
+
+
 def _nearest(k: int):
-    """The ``k + 1`` nearest entries of each query in one cell of a bucket (its own may be among them)."""
+    """The ``k + 1`` nearest entries of each query row in one cell of a bucket (its own may be among them)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        asked, entries, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        entries, scores, counts = [np.empty(0, np.int64)], [np.empty(0)], [0]
+        own, rows = left.column("id").to_numpy(), np.zeros(left.num_rows, np.int64)
         if left.num_rows and right.num_rows:
             q, x = _matrix(left.column("vector")), _matrix(right.column("vector"))
-            number, own = right.column("id").to_numpy(), left.column("id").to_numpy()
+            number = right.column("id").to_numpy()
             for i in range(len(q)):
                 d = np.sqrt(((x - q[i]) ** 2).sum(1))
                 near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
                 near = near[np.lexsort((number[near], d[near]))][: k + 1]
-                asked.append(np.full(len(near), own[i])), entries.append(number[near]), scores.append(d[near])
-        return pa.table({"query_id": np.concatenate(asked), "entry": np.concatenate(entries), "score": np.concatenate(scores)})
+                rows[i] = zlib.crc32(q[i].tobytes())
+                entries.append(number[near]), scores.append(d[near]), counts.append(len(near))
+        else:
+            own, rows = own[:0], rows[:0]
+        near = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.array(np.concatenate(entries))], ["score", "entry"])
+        return pa.table({"query_id": own, "row": rows, "near": pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), near)})
 
     return run
 
@@ -167,9 +176,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     index = index.join(large, ["tab", "key"], "left").withColumn("cell", F.pmod(F.xxhash64("id"), F.coalesce("cells", F.lit(1))).cast("int")).drop("cells")
     asked = asked.join(large, ["tab", "key"], "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
     by = ("tab", "key", "cell")
-    found = asked.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(_nearest(k), "query_id long, entry long, score double")
-    best = found.groupBy("query_id", "entry").agg(F.min("score").alias("score"))
-    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "entry"))).filter(F.col("n") <= k + 1)
+    found = asked.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(_nearest(k), _FOUND)
+    # a query row's lists are at most tables x probes x cells of k + 1 entries; an entry found twice has one score
+    lists = found.groupBy("query_id", "row").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    once = F.filter("near", lambda x, i: (i == 0) | (x != F.get("near", i - 1)))
+    best = lists.select("query_id", F.explode(F.slice(once, 1, k + 1)).alias("b")).select("query_id", "b.*")
     items = best.join(entries.select(F.col("id").alias("entry"), "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
     items = items.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
