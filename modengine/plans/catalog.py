@@ -404,6 +404,6 @@ def private_message_source(spark, sf_dir):
 
 @query("SELECT DISTINCT v AS variant FROM (SELECT unnest([lower(c_name), translate(lower(c_name), '@431!0$57+8692', 'aaeiiossttbggz'), replace(translate(lower(c_name), '@431!0$57+8692', 'aaeiiossttbggz'), '#', '#')]) AS v FROM customer)")
 def name_variants(spark, sf_dir):
-    """Variants of names; these have no inner separators between letters and no long repeats but of o."""
-    variants = _users(spark, sf_dir).select(F.explode(F.slice(normalize.name_variants(F.col("name")), 1, 2)).alias("variant"))
+    """All variants of names. The SQL has no step for repeats, so it lacks the collapsed ones."""
+    variants = _users(spark, sf_dir).select(F.explode(normalize.name_variants(F.col("name"))).alias("variant"))
     return variants.distinct()
