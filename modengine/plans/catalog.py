@@ -397,7 +397,8 @@ def user_set_admin(spark, sf_dir):
 @query(r"""SELECT conv_id, turn, regexp_extract(raw, '^(?i:/(?:msg|tell|w|whisper|reply|r))\s+(\S+)\s+([^\n]*)$', 2) AS text FROM (
   SELECT conv_id, turn, (CASE conv_id % 3 WHEN 0 THEN '/Msg bob ' WHEN 1 THEN '/reply ' ELSE '/say ' END) || text AS raw FROM conversations WHERE NOT regexp_matches(text, '[\n\r\x{85}\x{2028}\x{2029}]')) WHERE regexp_matches(raw, '^(?i:/(?:msg|tell|w|whisper|reply|r))\s+(\S+)\s+([^\n]*)$')""")
 def private_message_source(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[\n\r\x{85}\x{2028}\x{2029}]"))
+    """All private messages. The SQL leaves out turns with a line break, also where it is a blank before the message."""
+    rows = table(spark, sf_dir, "conversations")
     raw = F.concat(F.when(F.col("conv_id") % 3 == 0, "/Msg bob ").when(F.col("conv_id") % 3 == 1, "/reply ").otherwise("/say "), "text")
     return private_messages(rows.select("conv_id", "turn", raw.alias("text")))
 
