@@ -5,10 +5,11 @@ each marginal has its target share. A document is drawn with probability min(1,
 expected tokens equal the budget; where a cell's probability is cut at 1, the drawn documents carry the rest as a
 multiplier, so weighted tokens meet the targets in expectation.
 
-Topics come from spherical k-means over hashed word frequencies, fitted on at most ``SAMPLE`` documents (those of smallest
-hashed id); every document gets its topic, and all counts and weights are over all documents.
+Topics come from spherical k-means over hashed word frequencies. Up to ``SAMPLE`` different frequencies (those of smallest
+hash) only give the starting points; each round sums over all documents, in whole numbers, so the result does not depend
+on partitions or ids. Topics, counts and weights are over all documents.
 
-Scale: texts are not exchanged; counts by cell are aggregated in part before the exchange. Up to ``DRIVER_CELLS`` cells are
+Scale: texts are not exchanged; a round reads 64 bytes a document and sums them by topic in each task, and counts by cell are aggregated in part before the exchange. Up to ``DRIVER_CELLS`` cells are
 raked on the driver and their probabilities broadcast; more are raked as a table and joined by cell with salted keys.
 """
 
@@ -29,6 +30,8 @@ from modengine.llm.wordhash import U64, hash_words, row_slices, texts_of
 TOPICS = 8
 FEATURES = 64
 SAMPLE = 2000
+#: Rounds of k-means over all documents, at most, and parts of a unit that their sums count in.
+TOPIC_ROUNDS, PARTS = 25, 1 << 24
 DRIVER_CELLS = 50_000
 SALTS = 64
 ROUNDS, TOLERANCE = 200, 1e-9
@@ -73,9 +76,13 @@ def _assign(text_at: int, names: list[str], centres: np.ndarray):
     return run
 
 
-def fit_topics(features: np.ndarray, topics: int = TOPICS, rounds: int = 25) -> np.ndarray:
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def fit_topics(features: np.ndarray, topics: int = TOPICS, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
     """Unit centroids by spherical k-means; starts with the farthest of the points from those chosen before."""
-    x = features / np.maximum(np.linalg.norm(features, axis=1, keepdims=True), 1e-12)
+    x = _unit(features)
     if not len(x):
         return np.eye(1, FEATURES)
     chosen = [0]
@@ -85,7 +92,35 @@ def fit_topics(features: np.ndarray, topics: int = TOPICS, rounds: int = 25) ->
     for _ in range(rounds):
         own = np.argmax(x @ centres.T, 1)
         sums = np.stack([x[own == t].sum(0) if (own == t).any() else centres[t] for t in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        centres = _unit(sums)
+    return centres
+
+
+def _topic_sums(centres: np.ndarray):
+    """Rows of frequencies to the sum of unit vectors of each topic, one row a task and topic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(centres), FEATURES), np.int64)
+        for batch in batches:
+            f = _unpack(batch.column(0).to_pylist())
+            own, parts = nearest_topic(f, centres), np.rint(PARTS * _unit(f)).astype(np.int64)
+            for t in range(len(sums)):
+                sums[t] += parts[own == t].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), *(pa.array(c) for c in sums.T)], ["topic", *(f"s{i}" for i in range(FEATURES))])
+
+    return run
+
+
+def refine_topics(features: DataFrame, centres: np.ndarray, rounds: int = TOPIC_ROUNDS) -> np.ndarray:
+    """``centres`` after rounds of spherical k-means over all of ``features`` (one binary column), until none moves."""
+    schema = ", ".join(["topic int", *(f"s{i} long" for i in range(FEATURES))])
+    for _ in range(rounds):
+        found = features.mapInArrow(_topic_sums(centres), schema).groupBy("topic").agg(*[F.sum(f"s{i}") for i in range(FEATURES)]).collect()
+        sums = {r[0]: np.array(r[1:], float) for r in found}
+        moved = _unit(np.stack([sums[t] if t in sums and sums[t].any() else c for t, c in enumerate(centres)]))
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
     return centres
 
 
@@ -198,6 +233,15 @@ def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping], budget: float,
     return now.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"), F.lit(high).alias("factor"))
 
 
+def _starting_points(measured: DataFrame, feats: str, seed: int) -> np.ndarray:
+    """Up to ``SAMPLE`` different frequencies: copies count once, and ids do not matter."""
+    different = measured.agg(F.approx_count_distinct(feats)).first()[0]
+    # some four times the sample pass the bound on the hash, however many tasks there are
+    bound = min(2**63 - 1, -(2**63) + (4 * SAMPLE << 64) // max(1, different))
+    hashed = measured.select(F.xxhash64(F.lit(seed), F.col(feats)).alias("h"), feats).filter(F.col("h") <= F.lit(bound))
+    return _unpack([r[1] for r in hashed.distinct().orderBy("h", feats).limit(SAMPLE).collect()])
+
+
 def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col: str, lang_col: str, targets: Mapping[str, Mapping] | None, budget: float, driver_cells: int, seed: int, texts: bool) -> DataFrame:
     """``docs`` with a struct ``out``: topic, n_tokens, weight, probability, sampled. Without ``texts``, that column goes.
 
@@ -208,11 +252,7 @@ def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col:
     keep = [i for i, f in enumerate(fields) if i != at and (not texts or f.name in (id_col, source_col, lang_col))]
     schema = StructType([*(fields[i] for i in keep), StructField(words, LongType()), StructField(feats, BinaryType())])
     measured = saved(docs.mapInArrow(_measure(at, keep, schema.names), schema), "mix-measured")
-    # some four times the sample pass the bound on the hash, however many tasks there are
-    bound = min(2**63 - 1, -(2**63) + (4 * SAMPLE << 64) // max(1, measured.count()))
-    hashed = measured.select(F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), feats).filter(F.col("h") <= F.lit(bound))
-    sample = hashed.orderBy("h", feats).limit(SAMPLE).collect()
-    centres = fit_topics(_unpack([r[1] for r in sample]))
+    centres = refine_topics(measured.select(feats), fit_topics(_starting_points(measured.filter(F.col(words) > 0), feats, seed)))
     rows = measured.withColumn(topic, _topic(F.col(feats), centres)).drop(feats)
     cells = saved(rows.groupBy(F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(words).alias("tokens")), "mix-cells")
     if texts:

@@ -216,3 +216,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids(mixed)) < set(ids(cut)) and mixed.columns == docs.columns
     packed = P.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id for r in packed}) == ids(mixed)
+
+
+def test_topics_are_fitted_on_all_documents(spark, monkeypatch):
+    """A vocabulary outside the sample moves the centres; ids, copies and partitions do not choose the sample."""
+    monkeypatch.setattr(mixing, "SAMPLE", 20)
+    rng = random.Random(5)
+    texts = [" ".join(f"t{i % 3}x{rng.randrange(9)}" for _ in range(30)) for i in range(300)] + ["same words again"] * 150 + [None, ""]
+    rows = [(i, t, "en", "a", 0, "x", "x") for i, t in enumerate(texts)]
+    f = mixing._frequencies([(t or "").encode() for t in texts])[1].astype(float)
+    x = f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-12)
+    seen = []
+    refine = mixing.refine_topics
+    monkeypatch.setattr(mixing, "refine_topics", lambda *a, **k: seen.append(refine(*a, **k)) or seen[-1])
+    parts = []
+    for n, ids in ((1, True), (5, True), (3, False)):
+        df = docs_of(spark, rows if ids else [(None, *r[1:]) for r in rows]).repartition(n)
+        parts.append(Counter((r.n_tokens, r.topic) for r in mixing.mixture(df).collect()))
+    assert parts[0] == parts[1] == parts[2] and len({t for _, t in parts[0]}) > 3
+    centres = seen[0]
+    assert all(np.array_equal(centres, c) for c in seen)
+    own = np.argmax(x @ centres.T, 1)
+    for t in range(len(centres)):
+        s = x[own == t].sum(0)
+        assert not s.any() or np.allclose(s / np.linalg.norm(s), centres[t], atol=1e-5)
