@@ -1,7 +1,7 @@
 """Licence signatures: label, priority, weight, keywords, pattern.
 
 Patterns run over the words of a text, lower-cased and joined by one blank, and match whole words only. A rule runs where
-all its keywords occur. Higher priority wins where one detection lies inside another: 9 exact notices and identifiers,
+all its keywords occur, so every match of its pattern must hold them all. Higher priority wins where one detection lies inside another: 9 exact notices and identifiers,
 8 full licence names with version, 7 names, 6 characteristic sentences, 4 families, 2 weak hints.
 """
 
@@ -57,7 +57,7 @@ apache-1.1|8|1.0|apache|apache (?:software )?licen[sc]e (?:version )?1 1
 apache-2.0|9|1.0|spdx apache|spdx license identifier apache 2 0
 apache-2.0|8|1.0|apache|apache (?:software )?licen[sc]e (?:version |v )?2(?: 0)?
 apache-2.0|8|1.0|apache|apache 2 0(?: licen[sc]e)?
-apache-2.0|8|1.0|apache asl|asl 2 0
+apache-2.0|8|1.0|asl|asl 2 0
 apache-2.0|9|1.0|licensed apache except|licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
 apache-2.0|8|1.0|www apache licenses|www apache org licenses license 2 0
 apache|4|0.7|apache|apache (?:software )?licen[sc]e
@@ -143,12 +143,13 @@ ogl-uk-1.0|8|1.0|open government|open government licen[sc]e (?:version |v )?1 0
 ogl-uk-2.0|8|1.0|open government|open government licen[sc]e (?:version |v )?2 0
 ogl-uk-3.0|8|1.0|open government|open government licen[sc]e (?:version |v )?3 0
 ogl|4|0.7|open government|open government licen[sc]e
-etalab-2.0|8|1.0|etalab|(?:etalab )?(?:open licen[sc]e|licence ouverte) (?:version )?2 0
+etalab-2.0|8|1.0|open licen|(?:etalab )?open licen[sc]e (?:version )?2 0
+etalab-2.0|8|1.0|licence ouverte|(?:etalab )?licence ouverte (?:version )?2 0
 dl-de-by-2.0|8|1.0|datenlizenz|datenlizenz deutschland namensnennung(?: (?:version )?2 0)?
 dl-de-zero-2.0|8|1.0|datenlizenz|datenlizenz deutschland zero(?: (?:version )?2 0)?
 cdla-permissive|8|1.0|community data|community data licen[sc]e agreement permissive
 cdla-sharing|8|1.0|community data|community data licen[sc]e agreement sharing
-openrail|7|0.9|openrail|(?:creativeml |bigscience )?(?:open ?rail)(?: m)?(?: licen[sc]e)?
+openrail|7|0.9|rail|(?:creativeml |bigscience )?(?:open ?rail)(?: m)?(?: licen[sc]e)?
 free-art|7|0.9|free art|free art licen[sc]e
 gfdl-1.1|8|1.0|free documentation|(?:gnu )?free documentation licen[sc]e (?:version )?1 1
 gfdl-1.2|8|1.0|free documentation|(?:gnu )?free documentation licen[sc]e (?:version )?1 2
@@ -169,10 +170,10 @@ cc|4|0.7|creative commons|creative commons(?: licen[sc]e)?
 cc|4|0.7|creativecommons|creativecommons org licenses
 cc-by|7|0.9|creative commons attribution|creative commons attribution(?: licen[sc]e)?
 cc-by-sa|7|0.95|creative commons attribution share|creative commons attribution share ?alike(?: licen[sc]e)?
-cc-by-nd|7|0.95|creative commons attribution derivatives|creative commons attribution no ?deriv(?:s|atives)(?: licen[sc]e)?
+cc-by-nd|7|0.95|creative commons attribution deriv|creative commons attribution no ?deriv(?:s|atives)(?: licen[sc]e)?
 cc-by-nc|7|0.95|creative commons attribution commercial|creative commons attribution non ?commercial(?: licen[sc]e)?
 cc-by-nc-sa|7|0.97|creative commons attribution commercial share|creative commons attribution non ?commercial share ?alike(?: licen[sc]e)?
-cc-by-nc-nd|7|0.97|creative commons attribution commercial derivatives|creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: licen[sc]e)?
+cc-by-nc-nd|7|0.97|creative commons attribution commercial deriv|creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: licen[sc]e)?
 cc0-1.0|9|1.0|spdx cc0|spdx license identifier cc0 1 0
 cc0-1.0|8|1.0|cc0|cc0(?: 1 0)?(?: universal)?
 cc0-1.0|8|1.0|creative commons zero|creative commons zero(?: licen[sc]e)?
@@ -193,7 +194,7 @@ reserved-fr|7|0.8|tous droits r|tous droits r[ée]serv[ée]s
 reserved-es|7|0.8|todos derechos reservados|todos los derechos reservados
 proprietary|7|0.8|proprietary confidential|proprietary and confidential
 proprietary|7|0.8|confidential proprietary|confidential and proprietary
-proprietary|6|0.8|unauthorized copying|unauthorized (?:copying|reproduction|distribution|use) of this (?:file|document|work|software)
+proprietary|6|0.8|unauthorized this|unauthorized (?:copying|reproduction|distribution|use) of this (?:file|document|work|software)
 proprietary|6|0.8|reproduced without permission|(?:may|must) not be reproduced (?:\S+ ){0,8}without (?:\S+ ){0,4}permission
 proprietary|6|0.7|internal use only|for internal use only
 noncommercial|4|0.6|non commercial|(?:for )?non commercial (?:use|purposes)(?: only)?
@@ -201,7 +202,7 @@ noncommercial|4|0.6|noncommercial|(?:for )?noncommercial (?:use|purposes)(?: onl
 noncommercial|4|0.6|not commercial|not for commercial (?:use|purposes)
 research-only|6|0.7|research purposes only|(?:for )?(?:academic |scientific )?research purposes only
 evaluation-only|6|0.7|evaluation purposes only|(?:for )?evaluation purposes only
-no-ai-training|6|0.8|training|(?:may|must|shall) not be used (?:to train|for (?:the )?training(?: of)?)(?: \S+){0,3}
+no-ai-training|6|0.8|used train|(?:may|must|shall) not be used (?:to train|for (?:the )?training(?: of)?)(?: \S+){0,3}
 no-redistribution|6|0.7|redistribut|(?:redistribution|redistributing)(?: \S+){0,3} (?:is )?(?:prohibited|forbidden)
 no-redistribution|6|0.7|not redistributed|(?:may|must|shall) not be redistributed
 shareware|4|0.6|shareware|shareware
@@ -219,11 +220,11 @@ attribution-required|4|0.6|credit author|(?:must|should) (?:give )?credit the (?
 fair-use|4|0.5|fair use|fair use
 fair-dealing|4|0.5|fair dealing|fair dealing
 trademark|2|0.3|registered trademark|(?:is |are )?(?:a )?registered trademarks? of
-patent-grant|4|0.6|patent license|(?:grant of )?patent licen[sc]e
+patent-grant|4|0.6|patent licen|(?:grant of )?patent licen[sc]e
 royalty-free|4|0.6|royalty free|royalty free
-license-file|2|0.4|license file|see (?:the )?(?:accompanying )?licen[sc]e file
-license-file|2|0.4|license txt|see licen[sc]e (?:txt|md)
-license-mention|2|0.3|under license|(?:released|distributed|published|available|licen[sc]ed) under (?:the |a |an )?(?:\S+ ){0,4}licen[sc]e
+license-file|2|0.4|licen file|see (?:the )?(?:accompanying )?licen[sc]e file
+license-file|2|0.4|see licen|see licen[sc]e (?:txt|md)
+license-mention|2|0.3|under licen|(?:released|distributed|published|available|licen[sc]ed) under (?:the |a |an )?(?:\S+ ){0,4}licen[sc]e
 license-mention|2|0.3|unter lizenz|unter (?:der |einer )?(?:\S+ ){0,3}lizenz
 license-mention|2|0.3|sous licence|sous (?:la )?licence
 license-mention|2|0.3|bajo licencia|bajo (?:la |una )?licencia

@@ -255,3 +255,36 @@ def test_chat_escapes_only_what_conflicts(spark):
     formatted = chat.format_conversations(spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string"))
     for r in formatted.collect():
         assert "".join(s.text for s in r.segments) == r.formatted
+
+
+def expansions(parsed):
+    """Texts that a pattern matches: all alternatives, each repeat with its least count and one more."""
+    out = [""]
+    for op, value in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            ends = [chr(value)]
+        elif kind == "IN":
+            ends = [chr(v) if str(o) == "LITERAL" else {"CATEGORY_DIGIT": "0", "CATEGORY_NOT_SPACE": "x"}[str(v)] for o, v in value]
+        elif kind == "BRANCH":
+            ends = [e for branch in value[1] for e in expansions(branch)]
+        elif kind == "SUBPATTERN":
+            ends = expansions(value[3])
+        else:
+            assert kind == "MAX_REPEAT", kind
+            least, most, body = value
+            ends = [e * n for n in range(least, min(least + 1, most) + 1) for e in expansions(body)]
+        out = [a + b for a in out for b in dict.fromkeys(ends)]
+    return out
+
+
+def test_every_match_of_a_license_pattern_passes_its_gate():
+    for rule in RULES:
+        pattern = licenses.whole_words(rule.pattern)
+        for text in expansions(re._parser.parse(rule.pattern)):
+            assert pattern.search(text) and all(k in text for k in rule.keywords), (rule, text)
+    scanner = licenses.Scanner()
+    cases = {"released under the free content licence": "license-mention", "grant of patent licence": "patent-grant", "see the accompanying licence file": "license-file", "licence ouverte version 2 0": "etalab-2.0", "open rail m licence": "openrail"}
+    cases |= {"asl 2 0": "apache-2.0", "creative commons attribution no derivs": "cc-by-nd", "creative commons attribution non commercial no derivs": "cc-by-nc-nd"}
+    for text, label in cases.items():
+        assert label in {k[0] for k in scanner.scan(text)[1]}, text
