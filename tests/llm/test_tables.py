@@ -240,3 +240,20 @@ def test_topics_are_fitted_on_all_documents(spark, monkeypatch):
     for t in range(len(centres)):
         s = x[own == t].sum(0)
         assert not s.any() or np.allclose(s / np.linalg.norm(s), centres[t], atol=1e-5)
+
+
+def test_recall_on_even_vectors():
+    """No close neighbours, as in the test table at its largest: 99 of 100 true neighbours are found."""
+    n = 51_282
+    x = np.random.default_rng(0).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    widths = ann.layout(n, 64)
+    tables, probes = ann.effort(widths)
+    asked = np.arange(0, n, n // 200)
+    seen = np.zeros((len(asked), n), bool)
+    for t in range(tables):
+        keys, probed = ann._keys(x, t, widths, 1)[:, 0], ann._keys(x[asked], t, widths, probes)
+        for s, p in zip(seen, probed, strict=True):
+            s |= np.isin(keys, p)
+    near = np.argsort(-(x[asked] @ x.T), 1)[:, 1:11]
+    assert np.take_along_axis(seen, near, 1).mean() >= 0.99
