@@ -127,8 +127,8 @@ def rule_custom_regex(spark, sf_dir):
 
 @query(rf"WITH {_LINES} SELECT msg_id, CASE WHEN regexp_matches(lower(text), '\bder\b') THEN 'der' WHEN regexp_matches(lower(text), '\bthe\b') THEN 'the' END AS name FROM lines WHERE NOT regexp_matches(text, '[\r\x{{85}}\x{{2028}}\x{{2029}}]')")
 def rule_server_name(spark, sf_dir):
-    clean = lines(spark, sf_dir).filter(~F.col("text").rlike(r"[\r\x{85}\x{2028}\x{2029}]"))
-    return clean.select("msg_id", rules.server_name(F.col("text"), ("The", "der")).alias("name"))
+    """All lines; null where one holds another line break. The SQL leaves those lines out."""
+    return lines(spark, sf_dir).select("msg_id", rules.server_name(F.col("text"), ("The", "der")).alias("name"))
 
 
 @query(rf"WITH {_LINES} SELECT msg_id, regexp_matches(text, '[^\x00-\x7F\s]\S*$') AS hit FROM lines")

@@ -29,3 +29,10 @@ def test_private_messages_with_line_breaks(spark, tmp_path):
     found = [(conv, turn, message.fullmatch(("/Msg bob ", "/reply ", "/say ")[conv] + t)) for conv, turn, _, t in rows if t is not None]
     got = [tuple(r) for r in QUERIES["private_message_source"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((conv, turn, m[2]) for conv, turn, m in found if m) and (1, 1, "De. Los") in got
+
+
+def test_server_names_on_all_lines(spark, tmp_path):
+    text = "the one\r\nder\r\nthe two\nnone\nder x"
+    spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.msg_id % 1000000: r.name for r in QUERIES["rule_server_name"](spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: None, 2: "the", 3: None, 4: None}
