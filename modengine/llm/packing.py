@@ -13,15 +13,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modengine.llm.scratch import saved
-from modengine.llm.token_files import CHUNK_BYTES, encoded
-from modengine.llm.tokens import Encoder
-from modengine.llm.wordhash import row_slices
+from modengine.llm.token_files import encoded
 
 LENGTH = 2048
 OPEN = 1024
@@ -63,16 +62,17 @@ class OpenBins:
 
 
 def _pieces(path: str, length: int):
-    step = 4 * length
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        for whole in batches:
-            for batch in row_slices(whole, whole.schema.names[1], CHUNK_BYTES):
-                rows = [(key, i // step, i // 4, len(ids[i : i + step]) // 4, zlib.crc32(ids[i : i + step])) for key, ids in zip(batch.column(0).to_pylist(), encoded(batch, encoder), strict=True) for i in range(0, len(ids), step)]
-                columns = zip(*rows, strict=True) if rows else [[]] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch, ids, ends in encoded(batches, path):
+            starts = np.concatenate([[0], ends[:-1]])
+            parts = -(-(ends - starts) // length)
+            row = np.repeat(np.arange(len(ends)), parts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin = starts[row] + piece * length
+            stop = np.minimum(begin + length, ends[row])
+            raw = memoryview(ids).cast("B")
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * begin).tolist(), (4 * stop).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * length), pa.array(stop - begin), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

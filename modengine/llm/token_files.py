@@ -26,7 +26,9 @@ from modengine.llm.wordhash import row_slices
 
 PART_BYTES = 32 << 20
 END_ID = 0
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 6 << 20
+#: Documents whose ids go back to Spark at once.
+ROWS = 500
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 WRITE = {
     "compression": "zstd",
@@ -41,23 +43,25 @@ WRITE = {
 }
 
 
-def encoded(batch: pa.RecordBatch, encoder: Encoder, column: int = 1) -> list[bytes]:
-    """Ids and the end id of each text of a batch; null is the empty text."""
-    end = np.array([END_ID], "<u4").tobytes()
-    return [ids + end for ids in encoder.encode([t or "" for t in batch.column(column).to_pylist()])]
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, column: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with the ids of their texts (each with the end id behind it; null is the empty text) and the
+    end of each text's ids."""
+    encoder = Encoder.of(tokenizer)
+    for whole in batches:
+        for batch in row_slices(whole, whole.schema.names[column], CHUNK_BYTES):
+            yield batch, *encoder.encode(batch.column(column), END_ID)
 
 
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder.of(path), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for batch in row_slices(whole, whole.schema.names[1], CHUNK_BYTES):
-                ids = encoded(batch, encoder)
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(counts)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part), pa.int32()), pa.array(before + ends - counts), pa.array(counts), tokens], ["doc_id", "part", "part_start", "n_tokens", "tokens"])
-                before += int(ends[-1]) if len(ends) else 0
+        part, before = TaskContext.get().partitionId(), 0
+        for batch, ids, ends in encoded(batches, path):
+            starts = np.concatenate([[0], ends[:-1]])
+            for at in range(0, len(ends), ROWS):  # Spark takes a batch of lists whole
+                rows, to = slice(at, at + ROWS), ends[at : at + ROWS]
+                tokens = pa.ListArray.from_arrays(pa.array(np.append(starts[at], to) - starts[at], pa.int32()), pa.array(ids[starts[at] : to[-1]].view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(to)), pa.array(np.full(len(to), part), pa.int32()), pa.array(before + starts[rows]), pa.array(to - starts[rows]), tokens], ["doc_id", "part", "part_start", "n_tokens", "tokens"])
+            before += len(ids)
 
     return run
 

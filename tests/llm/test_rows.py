@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from modengine.llm import chat, licenses, packing, quality, token_files, tokens
@@ -145,8 +147,20 @@ def test_remembered_ids_equal_the_library(path, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 500)
     encoder = tokens.Encoder(path)
     for i in range(0, len(texts), 200):
-        for text, got in zip(texts[i : i + 200], encoder.encode(texts[i : i + 200]), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        for end in (None, 7):
+            ids, ends = encoder.encode(pa.array(["cut off", None, *texts[i : i + 200]]).slice(1), end)
+            own = [] if end is None else [end]
+            at = np.concatenate([[0], ends])
+            for text, a, b in zip(["", *texts[i : i + 200]], at[:-1], at[1:], strict=True):
+                assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids + own, text
+            assert len(ids) == ends[-1]
+    assert encoder.encode(pa.array([], pa.string()))[0].tolist() == []
+    # every pair of characters of all classes, and blanks around them
+    edge = [*"aZéÿ×÷0٣.'’…€ \n\t\xa0\u2003\u3000\u1680\x85\x1cя́日😀ªſ_", "'s", "'ll", "\r\n"]
+    texts = ["".join(x) for x in itertools.product(edge, repeat=3)]
+    ids, ends = encoder.encode(pa.array(texts))
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
 def ids_of(path):
