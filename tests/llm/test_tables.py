@@ -64,6 +64,35 @@ def test_warc_splits_of_a_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_warc_scans_with_different_splits_agree(spark, tmp_path):
+    """The second scan, for records that hold the magic, is cut into other tasks than the first."""
+    warc.write_warc(spark.createDataFrame(pages(), PAGE).coalesce(1), f"file://{tmp_path}/a")
+    path, before = f"file://{tmp_path}/a", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for first, second in ((2000, 2000), (2000, 3000), (700, 100_000)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(first))
+            records = warc.saved(warc.verified(warc.saved(warc.candidates(spark, path), "places")), "records")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(second))
+            split = records.filter("payload_digest is null")
+            found.append(Counter(tuple(r) for r in warc._joined(spark, path, split).select("at", "joined_bytes", "joined_digest").collect()))
+            assert len(found[-1]) == split.count() >= 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == found[2]
+
+
+def test_warc_other_versions_and_broken_files(spark, tmp_path):
+    record = lambda v, i, body: f"WARC/{v}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n{body}\r\n\r\n"
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_text(record("1.1", 1, "one WARC/1.1\r\nx") + record("1.0", 2, "two") + record("1.1", 3, "WARC/1.2 WARC/1.0"), newline="")
+    (tmp_path / "w" / "b.warc").write_text(record("1.1", 4, "four") + record("1.1", 5, "cut off here")[:-14], newline="")
+    (tmp_path / "w" / "c.warc").write_text("junk" + record("1.1", 6, "not reached"), newline="")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    sha = lambda s: (len(s), hashlib.sha1(s.encode()).hexdigest())
+    assert got == {1: sha("one WARC/1.1\r\nx"), 2: sha("two"), 3: sha("WARC/1.2 WARC/1.0"), 4: sha("four"), 5: sha("cu")}
+
+
 def test_warc_jumps_over_chained_fakes(spark):
     """Fakes whose chain leads back into the real one are reached only from where it does."""
     real = [(0, 100), (100, 250), (250, 300), (300, 400), (400, 500)]
