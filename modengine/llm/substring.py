@@ -3,13 +3,17 @@
 Every document is factored against all text that comes before it (smaller id, or the same document further left). The
 reference is indexed in blocks: a 20-word seed belongs to the block that the smallest hash among its 6-word grams picks
 (so neighbouring seeds mostly go together, as one run with one location), and a block's index maps a seed to its first
-occurrence. A document's seeds are looked up in every block that can hold them; consecutive hits on consecutive
-reference positions are one greedy factor, and the seeds that straddle a factor's end are looked up as well, so that a
-factor that starts inside the tail of another one is found. Factors of at least ``window`` words become duplicate spans.
-
-Scale: one exchange of about 10 bytes a word, one of the texts. A map task drops seeds that it has seen itself (only
-the first goes to the index), so a passage that a third of all documents share reaches its block once a buffer. Blocks
-are sized from the corpus. Seeds are told apart by 64 bits besides the independent bits that choose the block.
+occurrence. In each block a document is parsed greedily from left to right: the next seed is looked up, the factor that it
+opens is extended along the reference as far as both go on alike, and the parse jumps behind it. The seed at a factor's
+end, whose window straddles that end, is looked up next, so a factor that starts inside the tail of another one is found.
+A factor holds at least one seed, so it has ``window`` words or more, and its words are a duplicate span.
+
+Scale: one exchange of about 10 bytes a word, one of the texts. A map task first parses each buffer of its own documents
+against the buffer, and only the first occurrence of a seed there goes on, so a passage that a third of all documents
+share reaches its block once a buffer. Blocks are sized from the corpus; the seeds are counted by block before, and a
+block with more than ``BLOCK_SEEDS`` (a gram of some boilerplate with varying rest) is split by seed. Seeds are told apart
+by 64 bits besides the independent bits that choose the block; equal words always agree, different ones do not but with
+a chance of 2^-64 a pair of seeds in a block.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ GRAM = 6
 #: Text bytes whose seeds one reference block holds, and that a map task buffers.
 BLOCK_BYTES = 8 << 20
 BUFFER_BYTES = 6 << 20
+#: Seeds (8 bytes each) of a block beyond which it is split.
+BLOCK_SEEDS = 4_000_000
 
-SEEDS = "block int, docs binary, crcs binary, starts binary, lengths binary, seeds binary, spans binary"
+SEEDS = "block long, docs binary, crcs binary, starts binary, lengths binary, seeds binary, spans binary"
 SPANS = "doc_key long, crc long, start int, seeds int, ref_doc long, ref_start int"
 _SPAN = np.dtype([("doc", "<i8"), ("crc", "<u4"), ("start", "<u4"), ("n", "<u4"), ("ref", "<i8"), ("ref_start", "<u4")])
 
@@ -48,21 +54,50 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return out[:n]
 
 
-def _factors(doc: np.ndarray, crc: np.ndarray, pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray) -> np.ndarray:
-    """Greedy factors of hits sorted by (doc, crc, pos): a factor ends where the next seed or its reference isn't next."""
-    out = np.empty(0, _SPAN)
-    if len(pos):
-        same = (doc[1:] == doc[:-1]) & (crc[1:] == crc[:-1]) & (pos[1:] == pos[:-1] + 1) & (ref[1:] == ref[:-1]) & (ref_pos[1:] == ref_pos[:-1] + 1)
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        out = np.empty(len(first), _SPAN)
-        out["doc"], out["crc"], out["start"], out["ref"], out["ref_start"] = doc[first], crc[first], pos[first], ref[first], ref_pos[first]
-        out["n"] = np.diff(np.concatenate([first, [len(pos)]]))
+def _parse(doc: np.ndarray, crc: np.ndarray, pos: np.ndarray, seeds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Greedy factors of seeds in order of (doc, crc, pos); ``first`` is the index of each seed's first occurrence."""
+    n = len(seeds)
+    hit = (doc[first] != doc) | (pos[first] < pos)
+    hits = np.flatnonzero(hit)
+    if not len(hits):
+        return np.empty(0, _SPAN)
+    ends = np.flatnonzero(np.concatenate([(doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (pos[1:] != pos[:-1] + 1), [True]]))
+    room = ends[np.searchsorted(ends, np.arange(n))] + 1 - np.arange(n)  # seeds up to the end of a stretch
+    most, rank = np.minimum(room[hits], room[first[hits]]).tolist(), np.concatenate([[0], np.cumsum(hit)])
+    start, ref, opened, length, at = hits.tolist(), first[hits].tolist(), [], [], 0
+    while at < len(start):
+        i, r, limit, size, step = start[at], ref[at], most[at], 1, 16
+        while size < limit:
+            to = min(limit, size + step)
+            other = seeds[i + size : i + to] != seeds[r + size : r + to]
+            far = int(other.argmax())
+            if other[far]:
+                size += far
+                break
+            size, step = to, step * 4
+        opened.append(i)
+        length.append(size)
+        at = int(rank[i + size])
+    i = np.array(opened)
+    out = np.empty(len(i), _SPAN)
+    out["doc"], out["crc"], out["start"], out["n"], out["ref"], out["ref_start"] = doc[i], crc[i], pos[i], length, doc[first[i]], pos[first[i]]
     return out
 
 
-def _buffer_seeds(rows: list[tuple[int, bytes]], window: int, gram: int, blocks: int) -> Iterator[dict]:
-    """Runs of seeds by block, and the factors that this buffer of documents has within itself."""
-    rows.sort(key=lambda r: r[0])
+def _first_in_order(seeds: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Index of the first of each seed's equals in ``order``, which puts equal seeds side by side."""
+    new = np.concatenate([[True], seeds[order][1:] != seeds[order][:-1]])
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return first
+
+
+def _buffer_seeds(rows: list[tuple[int, bytes]], window: int, gram: int, blocks: int, split: dict[int, int]) -> Iterator[dict]:
+    """Runs of seeds by block, and the factors that this buffer of documents has within itself.
+
+    Blocks in ``split`` are dealt out by seed to that many; such a part has the number block + blocks x part.
+    """
+    rows.sort(key=lambda r: (r[0], zlib.crc32(r[1])))
     words, counts = hash_words([t for _, t in rows])
     ends = np.cumsum(counts)
     room = np.repeat(ends, counts) - np.arange(len(words))  # words left in the document
@@ -74,23 +109,22 @@ def _buffer_seeds(rows: list[tuple[int, bytes]], window: int, gram: int, blocks:
     which = np.searchsorted(ends, at, "right")
     ids, crcs = np.array([r[0] for r in rows], np.int64), np.array([zlib.crc32(t) for _, t in rows], np.uint32)
     doc, crc, pos = ids[which], crcs[which], at - (ends - counts)[which]
-    if len(ids) != len(np.unique(ids)):  # rows that share an id: first by place, not by row
-        order = np.lexsort((pos, doc))
-        at, seeds, lead, doc, crc, pos = (x[order] for x in (at, seeds, lead, doc, crc, pos))
-    order = np.argsort(seeds, kind="stable")
-    new = np.concatenate([[True], seeds[order][1:] != seeds[order][:-1]])
-    first = np.empty(len(order), np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    # rows that share an id: first by place, not by row
+    order = np.argsort(seeds, kind="stable") if len(ids) == len(np.unique(ids)) else np.lexsort((pos, doc, seeds))
+    first = _first_in_order(seeds, order)
     hit = (doc[first] != doc) | (pos[first] < pos)
-    h = np.flatnonzero(hit)
-    if len(ids) != len(np.unique(ids)):
-        h = h[np.lexsort((pos[h], crc[h], doc[h]))]
-    spans = _factors(doc[h], crc[h], pos[h], doc[first[h]], pos[first[h]])
+    spans = _parse(doc, crc, pos, seeds, first)
     keep = np.flatnonzero(~hit)
     doc, crc, pos, seeds, lead = doc[keep], crc[keep], pos[keep], seeds[keep], lead[keep]
-    start = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (pos[1:] != pos[:-1] + 1) | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])]))
+    block = (mix(lead) % U64(blocks)).astype(np.int64)
+    if split:
+        hot = np.array(sorted(split), np.int64)
+        place = np.minimum(np.searchsorted(hot, block), len(hot) - 1)
+        parts = np.where(hot[place] == block, np.array([split[b] for b in hot.tolist()], np.int64)[place], 1)
+        block = block + blocks * (mix(seeds ^ U64(0x5851F42D4C957F2D)) % parts.astype(U64)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (pos[1:] != pos[:-1] + 1) | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])]))
     length = np.diff(np.concatenate([start, [len(seeds)]]))
-    block = (mix(lead[start]) % U64(blocks)).astype(np.int64)
+    block = block[start]
     order = np.argsort(block, kind="stable")
     start, length, block = start[order], length[order], block[order]
     take = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
@@ -102,26 +136,45 @@ def _buffer_seeds(rows: list[tuple[int, bytes]], window: int, gram: int, blocks:
         yield {"block": int(block[a]), "docs": doc[r].tobytes(), "crcs": crc[r].tobytes(), "starts": pos[r].astype("<u4").tobytes(), "lengths": length[a:b].astype("<u4").tobytes(), "seeds": seeds[seed_at[a] : seed_at[b]].tobytes(), "spans": spans.tobytes() if block[a] == home else b""}
 
 
-def _seed_scan(window: int, gram: int, blocks: int, schema: pa.Schema):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+    rows, size = [], 0
+    for batch in batches:
+        ids, column = batch.column(0).to_pylist(), batch.column(1)
+        for i in range(0, len(ids), 512):
+            for key, text in zip(ids[i : i + 512], texts_of(column.slice(i, 512)), strict=True):
+                if rows and size + len(text) > BUFFER_BYTES:
+                    yield rows
+                    rows, size = [], 0
+                rows.append((key, text))
+                size += len(text)
+    if rows:
+        yield rows
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            out = list(_buffer_seeds(rows, window, gram, blocks))
+
+def _seed_scan(window: int, gram: int, blocks: int, split: dict[int, int], schema: pa.Schema):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buffers(batches):
+            out = list(_buffer_seeds(rows, window, gram, blocks, split))
             for i in range(0, len(out), 256):
                 yield pa.RecordBatch.from_pylist(out[i : i + 256], schema)
 
-        for batch in batches:
-            ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 512):
-                for key, text in zip(ids[i : i + 512], texts_of(column.slice(i, 512)), strict=True):
-                    if rows and size + len(text) > BUFFER_BYTES:
-                        yield from flush()
-                        rows, size = [], 0
-                    rows.append((key, text))
-                    size += len(text)
-        if rows:
-            yield from flush()
+    return scan
+
+
+def _seed_counts(window: int, gram: int, blocks: int):
+    """Seeds by block of each buffer: what differs within the buffer counts once, as in the scan."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buffers(batches):
+            words, counts = hash_words([t for _, t in rows])
+            ends = np.cumsum(counts)
+            room = np.repeat(ends, counts) - np.arange(len(words))
+            at = np.flatnonzero(room[: max(0, len(words) - window + 1)] >= window)
+            if len(at):
+                _, once = np.unique(window_hashes(words, window, 101)[at], return_index=True)
+                lead = _sliding_min(window_hashes(words, gram, 211), window - gram + 1)[at[once]]
+                block, n = np.unique((mix(lead) % U64(blocks)).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(n, pa.int64())], ["block", "n"])
 
     return scan
 
@@ -139,13 +192,9 @@ def _block_factors(table: pa.Table) -> pa.Table:
     if len(met):
         run, inside, seeds = run[met], inside[met], seeds[met]
         doc, crc, pos = join("docs", "<i8")[run], join("crcs", "<u4")[run], join("starts", "<u4")[run].astype(np.int64) + inside
-        order = np.lexsort((pos, doc, seeds))
+        order = np.lexsort((pos, crc, doc))
         doc, crc, pos, seeds = doc[order], crc[order], pos[order], seeds[order]
-        new = np.concatenate([[True], seeds[1:] != seeds[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(seeds)), 0))
-        hit = np.flatnonzero((doc != doc[first]) | (pos != pos[first]))
-        hit = hit[np.lexsort((pos[hit], crc[hit], doc[hit]))]
-        spans = np.concatenate([spans, _factors(doc[hit], crc[hit], pos[hit], doc[first[hit]], pos[first[hit]])])
+        spans = np.concatenate([spans, _parse(doc, crc, pos, seeds, _first_in_order(seeds, np.lexsort((pos, doc, seeds))))])
     return pa.table({"doc_key": spans["doc"], "crc": spans["crc"].astype(np.int64), "start": spans["start"].astype(np.int32), "seeds": spans["n"].astype(np.int32), "ref_doc": spans["ref"], "ref_start": spans["ref_start"].astype(np.int32)})
 
 
@@ -163,9 +212,11 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    schema = pa.schema([("block", pa.int32()), *[(c, pa.binary()) for c in ("docs", "crcs", "starts", "lengths", "seeds", "spans")]])
+    schema = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("docs", "crcs", "starts", "lengths", "seeds", "spans")]])
     rows = docs.select(_key(F.col(id_col)).alias("k"), F.col(text_col).cast("string").alias("t"))
-    seeds = rows.mapInArrow(_seed_scan(window, gram, blocks, schema), SEEDS)
+    counts = rows.mapInArrow(_seed_counts(window, gram, blocks), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
+    split = {r["block"]: -(-r["n"] // BLOCK_SEEDS) for r in counts.filter(F.col("n") > BLOCK_SEEDS).collect()}  # one entry for BLOCK_SEEDS seeds at most
+    seeds = rows.mapInArrow(_seed_scan(window, gram, blocks, split, schema), SEEDS)
     return seeds.groupBy("block").applyInArrow(_block_factors, SPANS)
 
 

@@ -84,18 +84,54 @@ def brute_classes(corpus):
 
 def test_substring_digest_equals_brute_force(spark, corpus, monkeypatch):
     want = brute_substrings(corpus)
-    for size in (1 << 10, 6 << 20):  # many small buffers and blocks, or one
+    for size, seeds in ((1 << 10, 1 << 30), (6 << 20, 1 << 30), (6 << 20, 500)):  # many small blocks, one, and one that is split
         monkeypatch.setattr(S, "BLOCK_BYTES", size)
+        monkeypatch.setattr(S, "BLOCK_SEEDS", seeds)
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in S.substring_digest(frame(spark, corpus)).collect()}
         assert got == want
     assert sum(n for _, n, _ in want.values()) > 1000
 
 
-def test_small_buffers_give_the_same(corpus):
+def test_buffers_deal_seeds_to_blocks(corpus):
     rows = sorted((i, (t or "").encode()) for i, t in corpus)
     for size in (1, 7, len(rows)):
-        seeds = [x for a in range(0, len(rows), size) for x in S._buffer_seeds(rows[a : a + size], 20, 6, 3)]
+        seeds = [x for a in range(0, len(rows), size) for x in S._buffer_seeds(rows[a : a + size], 20, 6, 3, {})]
         assert {s["block"] for s in seeds} == {0, 1, 2}
+        parts = [x for a in range(0, len(rows), size) for x in S._buffer_seeds(rows[a : a + size], 20, 6, 3, {1: 4})]
+        assert {s["block"] for s in parts} == {0, 2, 1, 4, 7, 10}
+        flat = lambda found: sorted(np.concatenate([np.frombuffer(s["seeds"], "<u8") for s in found]).tolist())
+        assert flat(seeds) == flat(parts)
+
+
+def test_parse_is_greedy_and_factors_are_maximal():
+    """Against a scalar parse: look up, extend seed by seed as far as the first occurrence goes on alike, jump."""
+    rng = np.random.default_rng(7)
+    for round_ in range(60):
+        sizes = rng.integers(1, 90, 6)
+        doc = np.repeat(np.arange(6), sizes)
+        pos = np.concatenate([np.sort(rng.choice(100, n, replace=False)) for n in sizes])
+        seeds = rng.integers(0, 3 if round_ % 2 else 40, len(doc)).astype(np.uint64)
+        if round_ % 3 == 0:
+            seeds[doc == 3], seeds[doc == 5] = 7, 7
+        crc = np.zeros(len(doc), np.uint32)
+        at = {(int(d), int(p)): int(s) for d, p, s in zip(doc, pos, seeds, strict=True)}
+        want = []
+        for d in range(6):
+            i = 0
+            places = sorted(p for e, p in at if e == d)
+            while i < len(places):
+                p = places[i]
+                ref = min(k for k, s in at.items() if s == at[d, p])
+                if ref == (d, p):
+                    i += 1
+                    continue
+                n = 1
+                while (d, p + n) in at and (ref[0], ref[1] + n) in at and at[d, p + n] == at[ref[0], ref[1] + n]:
+                    n += 1
+                want.append((d, p, n, *ref))
+                i += n
+        got = S._parse(doc, crc, pos, seeds, S._first_in_order(seeds, np.lexsort((pos, doc, seeds))))
+        assert [(int(x["doc"]), int(x["start"]), int(x["n"]), int(x["ref"]), int(x["ref_start"])) for x in got] == want
 
 
 def test_removed_text_keeps_everything_else(spark, corpus):
