@@ -6,20 +6,25 @@ many rotations as the number of rows needs. A query looks into the ``probes`` ke
 The members of a bucket are compared with the queries that look into it by exact distance, and each query's best are
 merged.
 
-Equal vectors are folded first: only the ``k + 1`` smallest ids of a vector can be among a query's ``k`` nearest, so a
-vector that fills a third of the table is one entry with ``k + 1`` ids. Buckets with many entries are split into cells of
-``CELL`` entries and each query goes to all cells of a bucket, so no task holds an unbounded bucket.
+Equal vectors are folded first, those of queries too: only the ``k + 1`` smallest ids of a vector can be among a query's
+``k`` nearest, so a vector that fills a third of the table is one entry with ``k + 1`` ids and one question. Buckets with
+many entries or questions are split into a grid of cells of ``CELL`` entries and ``ASKED`` questions at most, about, so no
+task holds an unbounded bucket. Vectors are compared with those of their own length.
+
+Scale: what is exchanged is a vector a table for entries, and one a probed key for questions. Comparing where buckets meet
+gives lists of ``k + 1`` a question and cell; pairs of ids would be more rows than there are vectors. Keys are computed
+twice, for the sizes of buckets and for the search, rather than written.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ from modengine.llm.scratch import saved
 from modengine.llm.wordhash import U64, mix
 
 K = 10
-CELL = 20_000
+CELL, ASKED = 20_000, 2_000
 #: Entries that the mean bucket of a table has, about.
 BUCKET = 200
 #: Tables, and keys that a query looks into in each, for up to ``BASE_KEYS`` keys; beyond, they grow with the keys.
@@ -103,45 +108,63 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
-def _index(widths: tuple[int, ...], tables: int, probes: int):
-    """Rows (id, vector) to one row for each table and probe."""
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _index(layouts: dict[int, tuple[int, ...]], probing: bool, vectors: bool = True):
+    """Rows (id, vector) to one row for each table and, if ``probing``, for each key that a question looks into."""
+    names = ["dim", "tab", "key", "id", *(["vector"] if vectors else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                x = _matrix(pa.concat_arrays([batch.column(1)]))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                for table in range(tables):
-                    keys = _keys(x, table, widths, probes)
-                    rows = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), table), pa.int32()), pa.array(keys.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], ["tab", "key", "id", "vector"])
+                sizes = pc.list_value_length(batch.column(1)).to_numpy()
+                for dim in np.unique(sizes).tolist():
+                    some = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                    x, (tables, probes) = unit(_matrix(some.column(1))), effort(layouts[dim])
+                    for table in range(tables):
+                        keys = _keys(x, table, layouts[dim], probes if probing else 1)
+                        rows = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
+                        columns = [pa.array(np.full(len(rows), dim), pa.int32()), pa.array(np.full(len(rows), table), pa.int32()), pa.array(keys.ravel()), some.column(0).take(rows)]
+                        yield pa.RecordBatch.from_arrays([*columns, *([some.column(1).take(rows)] if vectors else [])], names)
 
     return run
 
 
-_FOUND = "query_id long, row long, near array<struct<score:double,entry:long>>"
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of ``q`` from the columns of ``x``; components are summed in order, as a loop would."""
+    total = np.zeros(x.shape[1])
+    for row, c in zip(x, q.tolist(), strict=True):
+        total += (row - c) ** 2
+    return np.sqrt(total)
+
+
+_FOUND = "question long, near array<struct<score:double,entry:long>>"
 
 
 def _nearest(k: int):
-    """The ``k + 1`` nearest entries of each query row in one cell of a bucket (its own may be among them)."""
+    """The ``k + 1`` nearest entries of each question in one cell of a bucket (its own may be among them)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        entries, scores, counts = [np.empty(0, np.int64)], [np.empty(0)], [0]
-        own, rows = left.column("id").to_numpy(), np.zeros(left.num_rows, np.int64)
+        entries, scores, counts, own = [np.empty(0, np.int64)], [np.empty(0)], [0], left.column("id").to_numpy()
         if left.num_rows and right.num_rows:
-            q, x = _matrix(left.column("vector")), _matrix(right.column("vector"))
+            q, x = _matrix(left.column("vector")), np.ascontiguousarray(_matrix(right.column("vector")).T)
             number = right.column("id").to_numpy()
             for i in range(len(q)):
-                d = np.sqrt(((x - q[i]) ** 2).sum(1))
+                d = _distances(x, q[i])
                 near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
                 near = near[np.lexsort((number[near], d[near]))][: k + 1]
-                rows[i] = zlib.crc32(q[i].tobytes())
-                entries.append(number[near]), scores.append(d[near]), counts.append(len(near))
+                entries.append(number[near])
+                scores.append(d[near])
+                counts.append(len(near))
         else:
-            own, rows = own[:0], rows[:0]
+            own = own[:0]
         near = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.array(np.concatenate(entries))], ["score", "entry"])
-        return pa.table({"query_id": own, "row": rows, "near": pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), near)})
+        return pa.table({"question": own, "near": pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), near)})
 
     return run
 
@@ -149,39 +172,52 @@ def _nearest(k: int):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's ``k`` nearest other rows found, by Euclidean distance.
 
-    Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without an id, nor
-    vectors of another length than the most frequent one. Ties go to the smaller id. A row is never its own neighbour;
-    rows that share an id are one item, as near as the nearest of them. No usable vector: no rows.
+    Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without an id. A vector
+    is near only to vectors of its own length. Ties go to the smaller id. A row is never its own neighbour; rows that share
+    an id are one item, as near as the nearest of them. No usable vector: no rows. Other columns are not read.
     """
+    spark, width = vectors.sparkSession, "vector " + vectors.schema[vector_col].dataType.simpleString()
 
     def usable(df: DataFrame) -> DataFrame:
         fine = F.forall(vector_col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vector_col, lambda x: x != 0)
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(F.col("id").isNotNull() & fine)
 
-    spark, sizes = vectors.sparkSession, usable(vectors).groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    out = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], out)
-    rows = usable(vectors).filter(F.size("vector") == sizes["size"]).distinct()
     # the smallest ids of equal vectors; the limit holds before the exchange too
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("n") <= k + 1)
+    ranked = usable(vectors).distinct().withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).filter(F.col("n") <= k + 1)
     entries = saved(ranked.groupBy("vector").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    widths = layout(entries.count(), sizes["size"])
-    tables, probes = effort(widths)
-    schema = "tab int, key long, id long, vector " + vectors.schema[vector_col].dataType.simpleString()
-    index = saved(entries.select("id", "vector").mapInArrow(_index(widths, tables, 1), schema), "vector-index")
-    asked = usable(queries).filter(F.size("vector") == sizes["size"]).distinct().mapInArrow(_index(widths, tables, probes), schema)
-    buckets = index.groupBy("tab", "key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-    large = saved(buckets.filter("cells > 1"), "large-buckets")
-    index = index.join(large, ["tab", "key"], "left").withColumn("cell", F.pmod(F.xxhash64("id"), F.coalesce("cells", F.lit(1))).cast("int")).drop("cells")
-    asked = asked.join(large, ["tab", "key"], "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
-    by = ("tab", "key", "cell")
-    found = asked.groupBy(*by).cogroup(index.groupBy(*by)).applyInArrow(_nearest(k), _FOUND)
-    # a query row's lists are at most tables x probes x cells of k + 1 entries; an entry found twice has one score
-    lists = found.groupBy("query_id", "row").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    # an id may stand on several vectors, so entries get a number of their own
+    entries = saved(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
+    layouts = {r["dim"]: layout(r["n"], r["dim"]) for r in entries.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    rows = usable(queries).distinct()
+    asked = saved(rows.select("vector").distinct().withColumn("question", F.monotonically_increasing_id()), "questions")
+    asking = rows.join(asked, "vector").select(F.col("id").alias("query_id"), "question")
+    known = [r[0] for r in asked.select(F.size("vector")).distinct().collect() if r[0] not in layouts]
+    layouts |= {dim: layout(1, dim) for dim in known}
+    schema = "dim int, tab int, key long, id long"
+    by = ("dim", "tab", "key")
+
+    def keyed(df: DataFrame, number: str, probing: bool, whole: bool) -> DataFrame:
+        return df.select(number, "vector").mapInArrow(_index(layouts, probing, whole), f"{schema}, {width}" if whole else schema)
+
+    chunks = lambda most, out: F.ceil(F.count("*") / most).cast("int").alias(out)
+    sizes = [keyed(entries, "entry", False, False).groupBy(*by).agg(chunks(CELL, "cells")).filter("cells > 1"), keyed(asked, "question", True, False).groupBy(*by).agg(chunks(ASKED, "asks")).filter("asks > 1")]
+    large = saved(sizes[0].join(sizes[1], [*by], "full"), "large-buckets")
+    one = lambda c: F.coalesce(c, F.lit(1))
+    part = lambda c: F.pmod(F.xxhash64("id"), one(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), one(c) - 1))
+    right = keyed(entries, "entry", False, True).join(large, [*by], "left").withColumn("cell", part("cells")).withColumn("ask", every("asks")).drop("cells", "asks")
+    left = keyed(asked, "question", True, True).join(large, [*by], "left").withColumn("ask", part("asks")).withColumn("cell", every("cells")).drop("cells", "asks")
+    grid = (*by, "cell", "ask")
+    found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(_nearest(k), _FOUND)
+    # a question's lists are at most tables x probes x cells of k + 1 entries; an entry found twice has one score
+    lists = found.groupBy("question").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
     once = F.filter("near", lambda x, i: (i == 0) | (x != F.get("near", i - 1)))
-    best = lists.select("query_id", F.explode(F.slice(once, 1, k + 1)).alias("b")).select("query_id", "b.*")
-    items = best.join(entries.select(F.col("id").alias("entry"), "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id")
-    items = items.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    # cut at the score of place k + 1, ties included
+    reach = F.filter("near", lambda x: x["score"] <= F.coalesce(F.get("near", F.lit(k))["score"], F.lit(float("inf"))))
+    best = lists.select("question", once.alias("near")).select("question", F.explode(reach).alias("b")).select("question", "b.*")
+    items = best.join(entries.select("entry", "ids"), "entry").select("question", "score", F.explode("ids").alias("vec_id"))
+    items = items.groupBy("question", "vec_id").agg(F.min("score").alias("score"))
+    first = items.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy("score", "vec_id"))).filter(F.col("n") <= k + 1).drop("n")
+    pairs = asking.join(first, "question").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return items.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    return pairs.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -108,26 +108,30 @@ def test_nearest_equals_brute_force_on_a_small_table(spark):
     x = rng.normal(size=(300, 12)).round(3)
     rows = [(i, [float(v) for v in x[i]], "l") for i in range(300)]
     rows += [(400 + i, rows[0][1], "l") for i in range(40)] + [(i, [float(-v) for v in x[5]], "l") for i in (700, 800)]
-    rows += [(900, None, "l"), (901, [0.0] * 12, "l"), (902, [float("nan")] * 12, "l"), (903, [None] * 12, "l"), (904, [float("inf")] + [1.0] * 11, "l"), (905, [1.0, 2.0], "l"), (None, [1.0] * 12, "l"), (500, rows[1][1], "l"), rows[7]]
+    rows += [(1100 + i, [float(i + 1), float(i % 2)], "l") for i in range(5)] + [(1200, [1.0, 0.0], "l"), (1300, [2.5] * 3, "l")]  # other lengths
+    rows += [(1400 + i, [(i + 1) * 1e-30] * 5, "l") for i in range(3)] + [(1500 + i, [(i - 1.5) * 1e30, 1e29, 0.0, 0.0], "l") for i in range(3)]  # tiny, huge
+    rows += [(900, None, "l"), (901, [0.0] * 12, "l"), (902, [float("nan")] * 12, "l"), (903, [None] * 12, "l"), (904, [float("inf")] + [1.0] * 11, "l"), (None, [1.0] * 12, "l"), (500, rows[1][1], "l"), rows[7]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(3)
-    usable = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows if i is not None and v and len(v) == 12 and None not in v and np.isfinite(v).all() and any(v)]
+    usable = [(i, np.array(v, np.float32).astype(float)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     want = {}
     for q in {i for i, _ in usable if i % 100 == 0}:
         best = {}
         for qi, qv in usable:
             if qi == q:
                 for i, v in usable:
-                    if i != q:
+                    if i != q and len(v) == len(qv):
                         best[i] = min(best.get(i, np.inf), float(np.sqrt(((v - qv) ** 2).sum())))
-        want[q] = [(round(d, 9), i) for d, i in sorted((d, i) for i, d in best.items())[:10]]
-    for cell in (20_000, 7):
-        ann.CELL, before = cell, ann.CELL
+        if best:
+            want[q] = [(float(f"{d:.9g}"), i) for d, i in sorted((d, i) for i, d in best.items())[:10]]
+    for cell, some in ((20_000, 2_000), (7, 2)):
+        before = ann.CELL, ann.ASKED
+        ann.CELL, ann.ASKED = cell, some
         try:
             got = defaultdict(list)
             for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
-                got[r.query_id].append((round(r.score, 9), r.vec_id))
+                got[r.query_id].append((float(f"{r.score:.9g}"), r.vec_id))
         finally:
-            ann.CELL = before
+            ann.CELL, ann.ASKED = before
         hits = sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values()))
         assert set(got) == set(want) and hits >= 0.97 and got[500][:2] == want[500][:2]
     assert ann.nearest(df.limit(0), df).count() == 0
@@ -151,6 +155,27 @@ def test_recall_on_clustered_vectors(n):
     assert recall >= 0.9
 
 
+def test_recall_through_buckets(spark):
+    """The Spark operator where a question reads a part of the table only, and clusters with equal and near vectors."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(12_000, 32)).astype(np.float32)
+    x[3000:6000] = x[3000] + 0.01 * rng.normal(size=(3000, 32))
+    x[6000:7000] = x[6000]
+    widths = ann.layout(11_001, 32)
+    tables, probes = ann.effort(widths)
+    assert np.prod([2 * w for w in widths]) > probes  # not all buckets are read
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(0, 12_000, 100):
+        d = ((x.astype(float) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(got[q]) & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert len(got) == 120 and hits >= 0.95 * 1200
+
+
 def test_hadamard_is_a_rotation():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(ann.hadamard(ann.hadamard(x)), x)
