@@ -276,9 +276,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     star = saved(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
     involved = members.select("node").distinct().join(nodes.select("node", "doc_key", "crc"), "node")
     texts = docs.select(_doc_key(id_col).alias("doc_key"), _crc(text_col).alias("crc"), F.col(text_col).cast("string").alias("t"))
-    sets = saved(texts.join(involved, ["doc_key", "crc"]).select("node", "t").mapInArrow(_multisets, "node long, keys binary"), "multisets")
-    if docs.select(id_col).distinct().count() != docs.count():  # equal rows give a node's multiset more than once
-        sets = saved(sets.dropDuplicates(["node"]), "multisets")
+    # equal rows give a node's multiset more than once
+    once = Window.partitionBy("node").orderBy("crc")
+    single = texts.join(involved, ["doc_key", "crc"]).withColumn("nth", F.row_number().over(once)).filter("nth = 1")
+    sets = saved(single.select("node", "t").mapInArrow(_multisets, "node long, keys binary"), "multisets")
     links = saved(_verified(star, sets), "links")
     labels = saved(components(links), "labels")
     more = saved(_cross_links(members, labels, nodes, sets), "more-links")

@@ -20,11 +20,11 @@ from collections.abc import Iterator, Mapping
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from modengine.llm.scratch import fresh_name, saved
+from modengine.llm.scratch import delete, fresh_name, kept, saved, scratch_path, temporary_tables
 from modengine.llm.wordhash import U64, hash_words, row_slices, texts_of
 
 TOPICS = 8
@@ -129,7 +129,8 @@ def _unpack(rows) -> np.ndarray:
 
 
 def nearest_topic(features: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(features @ centres.T, 1).astype(np.int32)
+    """In whole numbers, so a row gets the same topic in any batch."""
+    return np.argmax(features.astype(np.int64) @ np.rint(PARTS * centres).astype(np.int64).T, 1).astype(np.int32)
 
 
 def _topic(features: Column, centres: np.ndarray) -> Column:
@@ -181,12 +182,8 @@ def scale(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
     return 1.0 / float(w[w > 0].min()) if (w > 0).any() else 0.0
 
 
-def _marginals(cells: DataFrame) -> dict[str, dict]:
-    """Tokens of each value of each dimension."""
-    return {d: {r[0]: r[1] for r in cells.groupBy(d).agg(F.sum("tokens")).collect()} for d in DIMENSIONS}
-
-
 def _rake_small(cells: DataFrame, targets: Mapping[str, Mapping], budget: float) -> DataFrame:
+    """(DIMENSIONS, weight, probability, factor) for each cell, on the driver: there are at most ``DRIVER_CELLS``."""
     rows = sorted(cells.collect(), key=lambda r: [(r[d] is not None, r[d]) for d in DIMENSIONS])
     tokens = np.array([r["tokens"] for r in rows], float)
     codes, wanted = [], []
@@ -194,7 +191,8 @@ def _rake_small(cells: DataFrame, targets: Mapping[str, Mapping], budget: float)
         values = list(dict.fromkeys(r[d] for r in rows))
         number = {v: i for i, v in enumerate(values)}
         codes.append(np.array([number[r[d]] for r in rows], np.int64))
-        wanted.append(np.array([targets[d].get(v, 0.0) for v in values]))
+        goal = targets.get(d) or tempered(dict(zip(values, np.bincount(codes[-1], tokens, len(values)).tolist(), strict=True)))
+        wanted.append(np.array([goal.get(v, 0.0) for v in values]))
     weights = rake(tokens, codes, wanted)
     factor = scale(tokens, weights, budget * tokens.sum())
     made = [(*(r[d] for d in DIMENSIONS), float(w), float(min(1.0, factor * w)), float(factor)) for r, w in zip(rows, weights, strict=True)]
@@ -203,34 +201,50 @@ def _rake_small(cells: DataFrame, targets: Mapping[str, Mapping], budget: float)
 
 
 def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping], budget: float, rounds: int = ROUNDS) -> DataFrame:
-    """The same over a table of cells: each step is a sum over a dimension's values, each round a written table."""
+    """The same over a table of cells. A step sums the mass of each value of a dimension, in part before the exchange, and
+    joins the factors back; a round is a written table that replaces the one before."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.withColumn("mass", F.col("tokens").cast("double"))
+    goals = {}
     for d in DIMENSIONS:
-        goal = spark.createDataFrame(list(targets[d].items()), f"value {cells.schema[d].dataType.simpleString()}, goal double")
-        now = now.join(goal, F.col(d).eqNullSafe(F.col("value")), "left").drop("value").withColumn(f"{d}_goal", F.coalesce("goal", F.lit(0.0))).drop("goal")
-        seen = now.filter("tokens > 0").groupBy(d).agg(F.max(f"{d}_goal").alias("g")).agg(F.sum("g")).first()[0] or 1.0
-        now = now.withColumn(f"{d}_goal", F.col(f"{d}_goal") * total / seen)
+        have = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("have")).filter("have > 0")
+        if targets.get(d):
+            given = spark.createDataFrame(list(targets[d].items()), f"given {cells.schema[d].dataType.simpleString()}, goal double")
+            have = have.join(given, F.col("value").eqNullSafe(F.col("given")), "left").select("value", F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        else:
+            have = have.select("value", F.pow("have", F.lit(TEMPER)).alias("goal"))
+        have = saved(have, "rake-goals")
+        whole = have.agg(F.sum("goal")).first()[0] or 1.0
+        goals[d] = have.select("value", (F.col("goal") * total / whole).alias("goal"))
+    now, path = cells.withColumn("mass", F.col("tokens").cast("double")), None
     for _ in range(rounds):
-        off = []
+        off = 0.0
         for d in DIMENSIONS:
-            have = F.sum("mass").over(Window.partitionBy(d))
-            now = now.withColumn("have", have).withColumn(f"{d}_off", F.abs(F.col("have") - F.col(f"{d}_goal")))
-            now = now.withColumn("mass", F.when(F.col("have") > 0, F.col("mass") * F.col(f"{d}_goal") / F.col("have")).otherwise(F.lit(0.0)))
-            off.append(F.max(F.when(F.col("tokens") > 0, F.col(f"{d}_off"))))
-        now = saved(now, "raked")
-        if (now.agg(F.greatest(*off)).first()[0] or 0) < TOLERANCE * max(total, 1):
+            sums = now.groupBy(F.col(d).alias("value")).agg(F.sum("mass").alias("mass_sum"))
+            steps = sums.join(goals[d].withColumnRenamed("value", "goal_value"), F.col("value").eqNullSafe(F.col("goal_value")))
+            steps = saved(steps.select("value", F.abs(F.col("mass_sum") - F.col("goal")).alias("off"), F.when(F.col("mass_sum") > 0, F.col("goal") / F.col("mass_sum")).otherwise(F.lit(0.0)).alias("step")), "rake-steps")
+            off = max(off, steps.agg(F.max("off")).first()[0] or 0.0)
+            now = now.join(steps, F.col(d).eqNullSafe(F.col("value")), "left").withColumn("mass", F.col("mass") * F.coalesce("step", F.lit(1.0))).select(*cells.columns, "mass")
+        before, path = path, scratch_path(spark, "raked")
+        now.write.parquet(path)
+        now = spark.read.schema(now.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        if off < TOLERANCE * max(total, 1):
             break
     now = now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("mass") / F.col("tokens")).otherwise(F.lit(1.0)))
-    low, high = 0.0, 1.0
-    drawn = lambda f: now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * f))).first()[0]
-    while drawn(high) < budget * total * (1 - 1e-12) and high < 1e18:
-        high *= 2
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if drawn(middle) < budget * total else (low, middle)
-    return now.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"), F.lit(high).alias("factor"))
+    # raise the factor until the cells that it cuts at 1 stay the same: each step is exact for the cells cut before it
+    factor, cut = 0.0, -1
+    while True:
+        over = F.col("weight") * factor > 1
+        full, rest, n, least = now.agg(F.sum(F.when(over, F.col("tokens")).otherwise(0.0)), F.sum(F.when(~over, F.col("weight") * F.col("tokens")).otherwise(0.0)), F.count_if(over), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+        if n == cut:
+            break
+        if not rest:
+            factor = 1.0 / least if least else 0.0
+            break
+        cut, factor = n, max((budget * total - full) / rest, 0.0)
+    return now.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability"), F.lit(float(factor)).alias("factor"))
 
 
 def _starting_points(measured: DataFrame, feats: str, seed: int) -> np.ndarray:
@@ -258,15 +272,15 @@ def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col:
     if texts:
         full = StructType([*fields, StructField(words, LongType()), StructField(topic, IntegerType())])
         rows = docs.mapInArrow(_assign(at, full.names, centres), full)
-    if targets is None or any(d not in targets for d in DIMENSIONS):
-        targets = {d: tempered(m) for d, m in _marginals(cells).items()} | dict(targets or {})
     few = cells.count() <= driver_cells
-    chances = (_rake_small if few else _rake_large)(cells, targets, budget)
+    with temporary_tables(docs.sparkSession):
+        chances = (_rake_small if few else _rake_large)(cells, dict(targets or {}), budget)
+        chances = chances if few else kept(chances, "mix-chances")
     names = {c: fresh_name(rows, f"{out}_{c}") for c in chances.columns}
     chances = chances.toDF(*names.values())
     on = F.col(source_col).eqNullSafe(F.col(names["source"])) & F.col(lang_col).eqNullSafe(F.col(names["lang"])) & (F.col(topic) == F.col(names["topic"]))
     if few:
-        joined = rows.join(F.broadcast(chances), on)
+        joined = rows.join(F.broadcast(chances), on)  # every row has its cell: topics are the same in both passes
     else:
         left, right = fresh_name(rows, f"{out}_salt"), fresh_name(rows, f"{out}_salts")
         chances = chances.withColumn(right, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -283,7 +297,7 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budge
 
     targets: for "source", "lang" or "topic" a mapping of values to shares; missing dimensions get the tempered shares
     of the corpus. Tokens are words; null text has none. Null sources and languages are values like others. Rows that
-    share an id are drawn together. weight is the raked weight of a token, multiplier what a drawn document counts for
+    share an id, the null id too, are drawn together. The empty table gives no rows. weight is the raked weight of a token, multiplier what a drawn document counts for
     beyond its probability.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -292,6 +306,6 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budge
 
 
 def sample_mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = DRIVER_CELLS, seed: int = SEED) -> DataFrame:
-    """The drawn rows of ``docs``, with their columns."""
+    """The drawn rows of ``docs``, with their columns; draws are those of ``mixture``."""
     out = fresh_name(docs, "mix")
     return _decided(docs, out, id_col, text_col, source_col, lang_col, targets, budget, driver_cells, seed, texts=True).filter(F.col(out)["sampled"]).select(*docs.columns)

@@ -147,6 +147,26 @@ WITH words AS (
   FROM words w LEFT JOIN gone g USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM kept
+""",
+    "op5_bagminhash": r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS id, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), shingles AS (
+  SELECT id, shingle, count(*) AS n
+  FROM (SELECT id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda p: array_to_string(ws[p:p + 4], ' ')) END) AS shingle FROM words WHERE len(ws) > 0)
+  GROUP BY id, shingle
+), sizes AS (
+  SELECT id, sum(n) AS size FROM shingles GROUP BY id
+), overlaps AS (
+  SELECT a.id AS x, b.id AS y, sum(least(a.n, b.n)) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.id < b.id GROUP BY a.id, b.id
+), links AS (
+  SELECT x, y FROM overlaps JOIN sizes s ON s.id = x JOIN sizes t ON t.id = y WHERE 5 * shared >= 4 * (s.size + t.size - shared)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT id AS x, id AS y FROM words UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y
+)
+SELECT w.doc_id, min(o.doc_id) AS class_id, count(*)::BIGINT AS class_size FROM words w JOIN reach r ON r.x = w.id JOIN words o ON o.id = r.y GROUP BY w.id, w.doc_id
 """,
     "op7_warc": r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

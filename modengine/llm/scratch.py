@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one where none is set and all runs on one host."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="modengine-")
         context.setCheckpointDir(base)
     return base.rstrip("/")
@@ -30,6 +32,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_folder.get() or scratch_root(spark) + '/modengine'}/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables, on any file system; nothing where there is none."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Tables ``saved`` inside are deleted at the end: what is returned must be ``kept``, or not depend on them."""
@@ -39,9 +48,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _folder.reset(before)
-        context = spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        delete(spark, path)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
