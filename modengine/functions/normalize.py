@@ -21,16 +21,13 @@ def strip_zero_width(text: Column) -> Column:
 
 
 def _decompose(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str | None:
-        return text and "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)) if unicodedata.category(c)[0] != "M")
-
-    return texts.map(one)
+    return texts.map(lambda text: text and unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)))
 
 
 def decompose(text: Column) -> Column:
     """Compatibility decomposition without marks. ASCII texts go to the Python worker as null, so they cost nothing."""
     plain = F.pandas_udf(_decompose, "string")
-    return F.coalesce(plain(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(F.regexp_replace(plain(F.when(text.rlike(r"[^\x00-\x7F]"), text)), r"\p{M}", ""), text)
 
 
 def decode_confusables(text: Column) -> Column:
@@ -38,9 +35,13 @@ def decode_confusables(text: Column) -> Column:
 
 
 def decode_leet_sequences(text: Column) -> Column:
-    """Multi-character leet in one pass: the first sequence in order of precedence at each place."""
+    """Multi-character leet in one pass: the first sequence in order of precedence at each place.
+
+    Characters that open no sequence are taken as one run.
+    """
     tokens = "|".join(re.escape(sequence) for sequence, _ in fixed.LEET)
-    found = F.regexp_extract_all(text, F.lit(f"(?s)({tokens}|.)"), F.lit(1))
+    opening = "".join(re.escape(c) for c in dict.fromkeys(sequence[0] for sequence, _ in fixed.LEET))
+    found = F.regexp_extract_all(text, F.lit(f"(?s)({tokens}|[^{opening}]+|.)"), F.lit(1))
     letters = F.create_map(*[F.lit(x) for pair in fixed.LEET for x in pair])
     decoded = F.array_join(F.transform(found, lambda t: F.coalesce(F.try_element_at(letters, t), t)), "")
     return F.when(text.rlike(tokens), decoded).otherwise(text)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from modengine.functions.fixed import TWO_LETTER_WORDS
 
-RELATIVE = 0.35
+RELATIVE, MOST_EDITS = 0.35, 3
 #: Words that a lexicon may have as a literal array.
 MOST_WORDS = 10_000
 
@@ -56,8 +56,8 @@ def is_common(word: Column, common: Column) -> Column:
 
 def first_match(text: Column, words: Column) -> Column:
     """The word whose occurrence ends first in ``text``, of these the longest; null if none occurs."""
-    hits = F.filter(words, lambda w: F.position(w, text) > 0)
-    ends = F.transform(hits, lambda w: F.struct((F.position(w, text) + F.length(w)).alias("end"), (-F.length(w)).alias("short"), w.alias("word")))
+    places = F.transform(words, lambda w: F.struct(F.position(w, text).alias("at"), w.alias("word")))
+    ends = F.transform(F.filter(places, lambda x: x["at"] > 0), lambda x: F.struct((x["at"] + F.length(x["word"])).alias("end"), (-F.length(x["word"])).alias("short"), x["word"].alias("word")))
     return F.array_min(ends)["word"]
 
 
@@ -66,25 +66,41 @@ def contains_any(text: Column, words: Column) -> Column:
 
 
 def max_distance(text: Column) -> Column:
-    return F.when(F.length(text) <= 4, 1).when(F.length(text) <= 8, 2).otherwise(3)
+    return F.when(F.length(text) <= 4, 1).when(F.length(text) <= 8, 2).otherwise(MOST_EDITS)
 
 
-def is_near(word: Column, text: Column) -> Column:
-    """Within the absolute and the relative edit distance for the length of ``text``."""
-    d = F.levenshtein(word, text)
-    return (d <= max_distance(text)) & (d / F.greatest(F.length(word), F.length(text)) <= RELATIVE)
+def _near(text: Column, words: Column) -> Column:
+    """array of struct(distance, word): the words within the absolute and the relative edit distance for ``text``.
+
+    Lengths are compared first, and a distance is computed once and only up to ``MOST_EDITS``.
+    """
+    close = F.filter(words, lambda w: F.abs(F.length(w) - F.length(text)) <= max_distance(text))
+    measured = F.transform(close, lambda w: F.struct(F.levenshtein(w, text, MOST_EDITS).alias("distance"), w.alias("word")))
+    # a distance beyond the bound is -1
+    return F.filter(measured, lambda x: (x["distance"] >= 0) & (x["distance"] <= max_distance(text)) & (x["distance"] / F.greatest(F.length(x["word"]), F.length(text)) <= RELATIVE))
+
+
+def _few(words: tuple[str, ...] | Column, text: Column) -> Column:
+    """The words that have a length near to that of ``text``: a literal array for each length, for texts short enough."""
+    if isinstance(words, Column):
+        return words
+    longest = max(map(len, words), default=0) + MOST_EDITS
+    chosen = None
+    for n in range(1, longest + 1):
+        some = [w for w in words if abs(len(w) - n) <= MOST_EDITS]
+        chosen = F.when(F.length(text) == n, strings(some)) if chosen is None else chosen.when(F.length(text) == n, strings(some))
+    return strings(()) if chosen is None else chosen.otherwise(strings(()))
 
 
-def fuzzy_match(text: Column, words: Column) -> Column:
+def fuzzy_match(text: Column, words: Column | tuple[str, ...]) -> Column:
     """Some word is near; a text of up to four characters does not match a word of its length at distance one."""
-    strict = lambda w: (F.length(text) > 4) | (F.length(w) != F.length(text)) | (F.levenshtein(w, text) != 1)
-    return F.exists(words, lambda w: is_near(w, text) & strict(w))
+    strict = lambda x: (F.length(text) > 4) | (F.length(x["word"]) != F.length(text)) | (x["distance"] != 1)
+    return F.exists(_near(text, _few(words, text)), strict)
 
 
-def nearest_word(text: Column, words: Column) -> Column:
+def nearest_word(text: Column, words: Column | tuple[str, ...]) -> Column:
     """struct(distance, word) of the nearest word within the thresholds, ties to the first in order; null if none."""
-    near = F.filter(words, lambda w: is_near(w, text))
-    return F.array_min(F.transform(near, lambda w: F.struct(F.levenshtein(w, text).alias("distance"), w.alias("word"))))
+    return F.array_min(_near(text, _few(words, text)))
 
 
 def tokens(text: Column) -> Column:
@@ -105,7 +121,7 @@ def bad_token(token: Column, common: Column, lexicon: Lexicon) -> Column:
             tail = at + n - 1 == F.length(t)
             return F.coalesce(((n >= 4) & ((at == 1) | tail)) | ((n == 3) & tail), F.lit(False))
 
-        hit = F.array_contains(basic, t) | _let(first_match(t, fuzzy), exact) | ((F.length(t) >= 3) & fuzzy_match(t, fuzzy))
+        hit = F.array_contains(basic, t) | _let(first_match(t, fuzzy), exact) | ((F.length(t) >= 3) & fuzzy_match(t, lexicon.fuzzy))
         return (t != "") & ~is_common(t, common) & hit
 
     return _let(trimmed(token), test)
@@ -163,7 +179,7 @@ def obfuscated(text: Column, common: Column, lexicon: Lexicon) -> Column:
 
     spread = F.coalesce(F.exists(spaced_hits(text, lexicon), blocks), F.lit(False))
     rest = F.array_join(F.filter(tokens(_letters(text)), lambda t: ~is_common(t, common)), "")
-    return spread | _let(rest, lambda r: (F.length(r) >= 3) & fuzzy_match(r, strings(lexicon.fuzzy)))
+    return spread | _let(rest, lambda r: (F.length(r) >= 3) & fuzzy_match(r, lexicon.fuzzy))
 
 
 def candidates(text: Column, lexicon: Lexicon) -> Column:
@@ -175,9 +191,16 @@ def candidates(text: Column, lexicon: Lexicon) -> Column:
 def with_common_words(messages: DataFrame, candidate: Column, dictionary: DataFrame, key: str, out: str = "common") -> DataFrame:
     """``messages`` with the array ``out`` of the candidates that ``dictionary`` (word) holds; ``key`` is unique.
 
-    The dictionary may be of any size: candidates are exploded and joined, not looked up in an array.
+    The dictionary may be of any size: candidates are exploded and joined, not looked up in an array. Only those that a
+    common-word test would look up are: longer than two characters and not a short number. Messages are computed once:
+    each goes along with one row of its own, whose word is in no dictionary and hot for no task.
     """
-    wanted = messages.select(key, F.explode(candidate).alias("word")).filter(F.length("word") > 2)
-    known = dictionary.select("word").distinct()
-    found = wanted.join(known, "word").groupBy(key).agg(F.collect_set("word").alias(out))
-    return messages.join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    looked_up = F.filter(F.array_distinct(candidate), lambda w: (F.length(w) > 2) & ~((F.length(w) <= 4) & w.rlike("^[0-9]+$")))
+    own = F.concat(F.lit("\0"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    words_of = F.concat(F.array(own), F.coalesce(looked_up, F.array().cast("array<string>")))
+    rows = messages.withColumn("__words", words_of).select(F.struct(*messages.columns).alias("__row"), F.posexplode("__words").alias("__at", "__word"))
+    rows = rows.select(F.col(f"__row.{key}").alias("__key"), F.when(F.col("__at") == 0, F.col("__row")).alias("__row"), "__word")
+    known = dictionary.select(F.col("word").alias("__word")).distinct().withColumn("__known", F.lit(True))
+    joined = rows.join(known, "__word", "left")
+    found = joined.groupBy("__key").agg(F.first("__row", ignorenulls=True).alias("__row"), F.collect_set(F.when(F.col("__known"), F.col("__word"))).alias(out))
+    return found.select("__row.*", out)

@@ -18,7 +18,7 @@ from modengine.functions.fixed import TLDS
 from modengine.functions.normalize import collapse_repeats, normalize
 from modengine.functions.words import Lexicon, bad_message, candidates, obfuscated, strings, with_common_words
 from modengine.operators.gates import bypass_flag
-from modengine.operators.limits import flooded, rate_limited
+from modengine.operators.limits import limited
 
 
 @dataclass(frozen=True)
@@ -120,15 +120,13 @@ class Moderator:
         return rows.select(*messages.columns, "normalized", "bypassed", F.col("decision").isNotNull().alias("blocked"), "decision.rule", "decision.block_message")
 
     def _limited(self, rows: DataFrame) -> DataFrame:
+        """Both stateful rules over the messages that reach them; the others do not move."""
         c = self.config
+        reach = F.col("pre").isNull() & ~F.col("bypassed") & F.col("user_id").isNotNull()
+        found = limited(rows.filter(reach), (c.rate_max, c.rate_seconds) if c.rate_enabled else None, (c.flood_seconds, c.flood_similarity, c.flood_max) if c.flood_enabled else None)
         outcome = lambda label, message: F.struct(F.lit(label).alias("rule"), F.lit(message).alias("block_message"))
-        steps = [("Rate Limit", c.rate_message, c.rate_enabled, lambda r: rate_limited(r, c.rate_max, c.rate_seconds)), ("Flood", c.flood_message, c.flood_enabled, lambda r: flooded(r, c.flood_seconds, c.flood_similarity, c.flood_max))]
-        for label, message, enabled, find in steps:
-            if enabled:
-                reached = rows.filter(F.col("pre").isNull() & ~F.col("bypassed") & F.col("user_id").isNotNull())
-                rows = rows.join(find(reached).withColumn("hit", F.lit(True)), "msg_id", "left")
-                rows = rows.withColumn("pre", F.coalesce("pre", F.when(F.col("hit"), outcome(label, message)))).drop("hit")
-        return rows
+        pre = F.when(F.col("limit") == "rate", outcome("Rate Limit", c.rate_message)).when(F.col("limit") == "flood", outcome("Flood", c.flood_message))
+        return found.withColumn("pre", pre).drop("limit").unionByName(rows.filter(~reach))
 
 
 def dry_run(moderator: Moderator, texts: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:

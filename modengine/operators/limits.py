@@ -50,6 +50,29 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def limited(messages: DataFrame, rate: tuple[int, int] | None, flood: tuple[int, float, int] | None, text_col: str = "normalized") -> DataFrame:
+    """``messages`` with ``limit``: "rate", "flood" or null, both rules with one exchange.
+
+    rate: most messages and seconds; flood: seconds, least similarity and most similar messages. A message over the rate
+    does not count for floods. A span's context reaches back by both windows, so that what counts as context of a flood
+    has its own context of the rate.
+    """
+    rate_ms, flood_ms = 1000 * (rate[1] if rate else 0), 1000 * (flood[0] if flood else 0)
+    rows = _spans(messages.withColumn("ms", millis(F.col("ts"))), max(1, rate_ms + flood_ms))
+    by, limit = Window.partitionBy("user_id", "span"), F.lit(None).cast("string")
+    if rate:
+        older = F.count("*").over(by.orderBy("ms").rangeBetween(Window.unboundedPreceding, -rate_ms - 1))
+        limit = F.when(F.row_number().over(by.orderBy("ms", "msg_id")) - older > rate[0], F.lit("rate"))
+    rows = rows.withColumn("limit", limit)
+    if flood:
+        counted = F.when(F.col("limit").isNull(), F.struct("ms", "msg_id", F.col(text_col).alias("norm")))
+        rows = rows.withColumn("before", F.collect_list(counted).over(by.orderBy("ms").rangeBetween(-flood_ms, 0)))
+        earlier = lambda x: (x["ms"] < F.col("ms")) | (x["msg_id"] < F.col("msg_id"))
+        similar = F.filter("before", lambda x: earlier(x) & (similarity(x["norm"], F.col(text_col)) >= flood[1]))
+        rows = rows.filter("own").withColumn("limit", F.when(F.col("limit").isNull() & (F.size(similar) >= flood[2]), F.lit("flood")).otherwise(F.col("limit")))
+    return rows.filter("own").select(*messages.columns, "limit")
+
+
 def flooded(messages: DataFrame, seconds: int, least: float, most: int, text_col: str = "normalized") -> DataFrame:
     """(msg_id) of messages with ``most`` or more similar ones of the user before them in the window."""
     window_ms = seconds * 1000
