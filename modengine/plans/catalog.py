@@ -6,13 +6,14 @@ lexicons are parameters, set here to values that select some but not all rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modengine.config import CustomRule, ModerationConfig
-from modengine.functions import domains, normalize, rules, words
+from modengine.functions import domains, fixed, normalize, rules, words
 from modengine.functions.words import Lexicon, strings
 from modengine.operators import gates, lexicon, limits, reports
 from modengine.operators.decide import Moderator, dry_run
@@ -29,6 +30,7 @@ _LINES = """lines AS (
   SELECT doc_id * 1000000 + pos AS msg_id, 1704067200 + doc_id * 7 + pos AS sec, (doc_id % 97)::VARCHAR AS user_id, source AS channel, text
   FROM (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents) WHERE text <> ''
 )"""
+# Fixed values as RE2 has them: its \b is the boundary that the operators spell out.
 _IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b|0x[0-9a-fA-F]{1,2}(?:\.[0-9a-fA-F]{1,2}){3}|\b\d{1,3}\s*[,;:]\s*\d{1,3}\s*[,;:]\s*\d{1,3}\s*[,;:]\s*\d{1,3}\b"
 _TAG = r"(?i)<[/]?[a-z][a-z0-9_]*(?::[^>]*)?>"
 _COLOR = r"(?i)[&Â§](?:[0-9a-fk-or]|x(?:[&Â§][0-9a-f]){6})"
@@ -155,11 +157,99 @@ def norm_confusable(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", normalize.decode_confusables(F.translate("text", "aeo", "аео")).alias("normalized"))
 
 
-@query()
+def _between(text: str, separator: str) -> str:
+    """SQL: without ``separator`` between letters. A letter ends one match and may open the next, so it takes two passes."""
+    once = lambda x: rf"regexp_replace({x}, '(\p{{L}}){separator}(\p{{L}})', '\1\2', 'g')"
+    return once(once(text))
+
+
+def _chars(text: str, keep: str) -> str:
+    """SQL: the characters c (at i, of cs) for which ``keep`` holds."""
+    return f"(SELECT array_to_string(list_filter(cs, lambda c, i: {keep}), '') FROM (SELECT string_split({text}, '') AS cs))"
+
+
+def _leet(text: str) -> str:
+    """SQL: sequences are marked in one pass and then replaced."""
+    quoted = lambda x: x.replace("'", "''")
+    marked = rf"regexp_replace({text}, '({quoted('|'.join(re.escape(q) for q, _ in fixed.LEET))})', chr(57344) || '\1' || chr(57345), 'g')"
+    for sequence, letter in fixed.LEET:
+        marked = f"replace({marked}, chr(57344) || '{quoted(sequence)}' || chr(57345), '{letter}')"
+    return marked
+
+
+def _spaced(text: str) -> str:
+    once = lambda x: rf"regexp_replace({x}, '\b([a-zA-Z]) ([a-zA-Z])\b', '\1' || chr(57344) || '\2', 'g')"
+    return f"replace({once(once(text))}, chr(57344), '')"
+
+
+def _separators(text: str) -> str:
+    """SQL: separators before a blank are put aside."""
+    for n, c in enumerate("*_-|"):
+        text = rf"regexp_replace({text}, '[{chr(92)}{c}](\s)', chr({57344 + n}) || '\1', 'g')"
+    text = rf"regexp_replace({text}, '\s*([*_\-|])', '\1', 'g')"
+    for n, c in enumerate("*_-|"):
+        text = f"replace({text}, chr({57344 + n}), '{c}')"
+    return text
+
+
+#: The steps of the chain as SQL over an expression, in order.
+_STEPS: dict[str, Callable[[str], str]] = {
+    "zero_width": lambda t: f"regexp_replace({t}, '[{fixed.ZERO_WIDTH}]', '', 'g')",
+    "decompose": lambda t: f"strip_accents({t})",
+    "confusables": lambda t: f"translate({t}, '{fixed.CYRILLIC + fixed.GREEK}', '{fixed.CYRILLIC_AS + fixed.GREEK_AS}')",
+    "leet_sequences": _leet,
+    "leet_chars": lambda t: f"translate({t}, '{fixed.LEET_CHARS}', '{fixed.LEET_AS}')",
+    "dot_variants": lambda t: f"regexp_replace({t}, '{fixed.DOT_VARIANTS}', '.', 'g')",
+    "letter_dots": lambda t: _between(t, r"\.+"),
+    "spaced_letters": _spaced,
+    "punctuation": lambda t: _chars(t, "i = 1 OR c <> cs[i - 1] OR regexp_matches(c, '[a-zA-Z0-9]')"),
+    "separators": _separators,
+    "brackets": lambda t: _between(t, r"[()\[\]{{}}]+".replace("{{", "{").replace("}}", "}")),
+    "inline_separators": lambda t: _between(t, r"[*_''\-|]"),
+}
+
+
+def _repeats(t: str) -> str:
+    return _chars(t, "i < 3 OR c <> cs[i - 1] OR c <> cs[i - 2] OR c IN (chr(13), chr(133), chr(8232), chr(8233))")
+
+
+def _chain(start: str, key: str, steps) -> str:
+    """CTEs that apply ``steps`` to the text of ``start``; the last is ``normalized``."""
+    names = [start, *(f"step{i}" for i in range(1, len(steps))), "normalized"]
+    return ", ".join(f"{names[i + 1]} AS (SELECT {key}, {step('text')} AS text FROM {names[i]})" for i, step in enumerate(steps))
+
+
+_NORMALIZED = f"{_LINES}, {_chain('lines', 'msg_id', list(_STEPS.values()))}"
+
+
+@query(f"WITH {_NORMALIZED} SELECT msg_id, text AS normalized FROM normalized")
 def norm_full(spark, sf_dir):
     return lines(spark, sf_dir).select("msg_id", normalize.normalize(F.col("text")).alias("normalized"))
 
 
+def _step_query(name: str, step: Callable, sql: Callable[[str], str], letters: str, signs: str) -> None:
+    """One step over lines in which ``letters`` are replaced by the ``signs`` that it works on."""
+    quoted = signs.replace("'", "''")
+
+    def run(spark, sf_dir):
+        return lines(spark, sf_dir).select("msg_id", step(F.translate("text", letters, signs)).alias("normalized"))
+
+    run.__name__ = f"norm_{name}"
+    query(f"WITH {_LINES}, t AS (SELECT msg_id, translate(text, '{letters}', '{quoted}') AS text FROM lines) SELECT msg_id, {sql('text')} AS normalized FROM t")(run)
+
+
+_step_query("decompose", normalize.decompose, _STEPS["decompose"], "aeou", "àéöů")
+_step_query("leet_sequences", normalize.decode_leet_sequences, _STEPS["leet_sequences"], "etaoins", "|_/\\'><")
+_step_query("dot_variants", normalize.fold_dot_variants, _STEPS["dot_variants"], "aehiox", "()[]0x")
+_step_query("letter_dots", normalize.drop_letter_dots, _STEPS["letter_dots"], "aey", "...")
+_step_query("spaced_letters", normalize.join_spaced_letters, _STEPS["spaced_letters"], "eoa", "   ")
+_step_query("punctuation", normalize.collapse_punctuation, _STEPS["punctuation"], "lts", "!!.")
+_step_query("separators", normalize.tighten_separators, _STEPS["separators"], "etoa", "*-| ")
+_step_query("brackets", normalize.drop_letter_brackets, _STEPS["brackets"], "eto", "([}")
+_step_query("inline_separators", normalize.drop_letter_separators, _STEPS["inline_separators"], "eto", "*_'")
+_step_query("repeats", normalize.collapse_repeats, _repeats, "einorst", "aaaaaaa")
+
+
 # --- detectors -------------------------------------------------------------------------------------------------------
 
 
@@ -217,14 +307,69 @@ def invite_hits(spark, sf_dir):
     return lines(spark, sf_dir).withColumn("text", text).select("msg_id", domains.discord_invite(F.col("text")).alias("discord"), domains.invite_phrase(F.col("text")).alias("invite"))
 
 
-@query()
+def _common(word: str) -> str:
+    """SQL: ``is_common`` with the table dict."""
+    two = ", ".join(f"'{w}'" for w in fixed.TWO_LETTER_WORDS)
+    return f"CASE length({word}) WHEN 0 THEN false WHEN 1 THEN {word} BETWEEN 'a' AND 'z' WHEN 2 THEN {word} IN ({two}) ELSE regexp_full_match({word}, '[0-9]{{1,4}}') OR {word} IN (SELECT word FROM dict) END"
+
+
+_LEX = "lex AS (SELECT unnest(['andthe', 'heat', 'ingtion', 'oner', 'there', 'tion']) AS w)"
+
+
+def _fuzzy(word: str) -> str:
+    near = _NEAR.replace("token", word)
+    return f"EXISTS (SELECT 1 FROM lex WHERE {near} AND (length({word}) > 4 OR length(w) <> length({word}) OR levenshtein({word}, w) <> 1))"
+
+
+_VERDICTS = f"""verdicts AS (
+  SELECT t, t <> '' AND NOT {_common("t")} AND (t IN ('that', 'thewith') OR length(t) >= 3 AND {_fuzzy("t")}
+    OR coalesce((SELECT length(w) >= 4 AND (instr(t, w) = 1 OR instr(t, w) + length(w) - 1 = length(t)) OR length(w) = 3 AND instr(t, w) + length(w) - 1 = length(t)
+                 FROM lex WHERE instr(t, w) > 0 ORDER BY instr(t, w) + length(w), length(w) DESC, w LIMIT 1), false)) AS bad
+  FROM (SELECT DISTINCT t FROM trimmed)
+)"""
+
+
+@query(f"""WITH {_TOKENS}, {_DICTIONARY}, {_LEX}, trimmed AS (SELECT token AS t FROM tok WHERE token <> ''), {_VERDICTS} SELECT t AS token, bad FROM verdicts""")
+def token_test(spark, sf_dir):
+    rows = words.with_common_words(_tokens(spark, sf_dir), F.array("token"), dictionary(spark, sf_dir), "token")
+    return rows.select("token", words.bad_token(F.col("token"), F.col("common"), LEXICON).alias("bad"))
+
+
+@query(f"WITH {_LINES}, lex AS (SELECT unnest(['andthe', 'heat', 'ingtion', 'oner', 'there', 'tion']) AS w) SELECT msg_id, EXISTS (SELECT 1 FROM lex WHERE instr(text, w) > 0) AS hit FROM lines")
+def contains_any(spark, sf_dir):
+    return lines(spark, sf_dir).select("msg_id", words.contains_any(F.col("text"), strings(LEXICON.fuzzy)).alias("hit"))
+
+
+@query(rf"""WITH {_NORMALIZED}, {_DICTIONARY}, {_LEX}, squeezed AS (SELECT msg_id, lower({_repeats("text")}) AS text FROM normalized),
+split AS (SELECT msg_id, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS ts, list_filter(string_split_regex(regexp_replace(text, '[^a-z\s]', '', 'g'), '\s+'), lambda t: t <> '') AS ls FROM squeezed),
+trimmed AS (SELECT msg_id, regexp_replace(u, '^[^a-z]+|[^a-z]+$', '', 'g') AS t FROM (SELECT msg_id, unnest(ts) AS u FROM split)), {_VERDICTS},
+blocked AS (SELECT DISTINCT msg_id FROM trimmed JOIN verdicts USING (t) WHERE bad),
+letters AS (SELECT msg_id, i, l, coalesce(sum(length(l)) OVER (PARTITION BY msg_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, {_common("l")} AS common
+  FROM (SELECT msg_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM split)),
+hits AS (SELECT msg_id, w, instr(array_to_string(ls, ''), w) - 1 AS p FROM split, lex WHERE instr(array_to_string(ls, ''), w) > 0),
+covers AS (SELECT h.msg_id, w, p, min(pos) AS head, string_agg(l, '' ORDER BY i) AS blob, count(*) AS n, bool_and(common) AS all_common
+  FROM hits h JOIN letters x ON x.msg_id = h.msg_id AND pos < p + length(w) AND pos + length(l) > p GROUP BY ALL),
+spread AS (SELECT DISTINCT msg_id FROM covers WHERE NOT {_common("blob")} AND NOT (all_common AND p > head) AND NOT (n = 1 AND p > head AND p - head + length(w) < length(blob))),
+rests AS (SELECT msg_id, string_agg(l, '' ORDER BY i) FILTER (NOT common) AS r FROM letters GROUP BY msg_id),
+loose AS (SELECT msg_id FROM rests WHERE length(r) >= 3 AND {_fuzzy("r")})
+SELECT msg_id, msg_id IN (SELECT msg_id FROM blocked) OR len(ts) = 2 AND array_to_string(ts, '') IN ('that', 'thewith') AS bad,
+  msg_id IN (SELECT msg_id FROM spread) OR msg_id IN (SELECT msg_id FROM loose) AS obfuscated FROM split""")
 def word_list_matches(spark, sf_dir):
-    rows = lines(spark, sf_dir).withColumn("text", normalize.collapse_repeats(normalize.normalize(F.col("text"))))
+    rows = lines(spark, sf_dir).select("msg_id", normalize.collapse_repeats(normalize.normalize(F.col("text"))).alias("text"))
     rows = words.with_common_words(rows, words.candidates(F.col("text"), LEXICON), dictionary(spark, sf_dir), "msg_id")
     return rows.select("msg_id", words.bad_message(F.col("text"), F.col("common"), LEXICON).alias("bad"), words.obfuscated(F.col("text"), F.col("common"), LEXICON).alias("obfuscated"))
 
 
-@query()
+@query(rf"""WITH {_DICTIONARY}, tlds AS (SELECT unnest([{", ".join(f"'{t}'" for t in fixed.TLDS)}]) AS tld), pages2 AS (SELECT page_id, {_repeats("url")} AS url FROM pages),
+hits AS (SELECT page_id, false AS joined, lower(unnest(regexp_extract_all(url, '(?i)\b(?:[a-z0-9-]+\s*(?:{fixed.SEPARATORS})\s*)+(?:{"|".join(fixed.TLDS)})(?:\s*:\s*\d{{1,5}})?\b'))) AS h FROM pages2
+  UNION ALL SELECT page_id, true, lower(unnest(regexp_extract_all(url, '(?i)\b[a-z0-9-]{{3,}}(?:{"|".join(t for t in fixed.TLDS if len(t) > 2)})\b'))) FROM pages2),
+labels AS (SELECT DISTINCT h, left(h, length(h) - length(tld)) AS part FROM hits JOIN tlds ON joined AND length(h) > length(tld) AND suffix(h, tld)),
+fine AS (SELECT DISTINCT h FROM labels WHERE part = 'example.com' OR {_common("part")}),
+behind AS (SELECT DISTINCT h, trim(regexp_extract(h, '(?s)[,_\-*](.*)$', 1)) AS part FROM hits WHERE NOT joined AND length(h) - length(translate(h, '.,_-*', '')) = 1 AND NOT contains(h, '.')),
+blocked AS (SELECT DISTINCT page_id FROM hits WHERE h <> 'example.com' AND NOT {_common("h")}
+  AND CASE WHEN joined THEN h NOT IN (SELECT h FROM fine) ELSE h NOT IN (SELECT h FROM behind WHERE {_common("part")}) END)
+SELECT page_id, page_id IN (SELECT page_id FROM blocked) OR regexp_matches(url, '(?i)discord\s*(?:{fixed.SEPARATORS}|\s)+(?:gg/\w+|com/invite/\w+)')
+  OR regexp_matches(url, '(?i)(?:join\s+(?:my\s+)?server|\bip:\s*[a-z0-9.\s]+|\bjoin\s+\w+(?:\s*,?\s*\w+)+[,.:]\s*\d{{3,5}})') AS hit FROM pages2""")
 def domain_matches(spark, sf_dir):
     tlds, names = Moderator().tlds, strings(("example.com",))
     rows = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
