@@ -157,10 +157,10 @@ WITH RECURSIVE words AS (
   GROUP BY id, shingle
 ), sizes AS (
   SELECT id, sum(n) AS size FROM shingles GROUP BY id
-), overlaps AS (
+), shared_shingles AS (
   SELECT a.id AS x, b.id AS y, sum(least(a.n, b.n)) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.id < b.id GROUP BY a.id, b.id
 ), links AS (
-  SELECT x, y FROM overlaps JOIN sizes s ON s.id = x JOIN sizes t ON t.id = y WHERE 5 * shared >= 4 * (s.size + t.size - shared)
+  SELECT x, y FROM shared_shingles JOIN sizes s ON s.id = x JOIN sizes t ON t.id = y WHERE 5 * shared >= 4 * (s.size + t.size - shared)
 ), both_ways AS (
   SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach AS (
