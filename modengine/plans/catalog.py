@@ -127,9 +127,9 @@ def rule_custom_regex(spark, sf_dir):
     return lines(spark, sf_dir).select("msg_id", rules.custom_pattern(F.col("text"), "tion[a-z]{2}[.,]").alias("hit"))
 
 
-@query(rf"WITH {_LINES} SELECT msg_id, CASE WHEN regexp_matches(lower(text), '\bder\b') THEN 'der' WHEN regexp_matches(lower(text), '\bthe\b') THEN 'the' END AS name FROM lines WHERE NOT regexp_matches(text, '[\r\x{{85}}\x{{2028}}\x{{2029}}]')")
+@query(rf"WITH {_LINES} SELECT msg_id, CASE WHEN regexp_matches(text, '[\r\x{{85}}\x{{2028}}\x{{2029}}]') THEN NULL WHEN regexp_matches(lower(text), '\bder\b') THEN 'der' WHEN regexp_matches(lower(text), '\bthe\b') THEN 'the' END AS name FROM lines")
 def rule_server_name(spark, sf_dir):
-    """All lines; null where one holds another line break. The SQL leaves those lines out."""
+    """All lines; null where one holds another line break."""
     return lines(spark, sf_dir).select("msg_id", rules.server_name(F.col("text"), ("The", "der")).alias("name"))
 
 
@@ -539,17 +539,22 @@ def user_set_admin(spark, sf_dir):
     return lexicon.set_user(lexicon.toggle_user(lexicon.set_user(ids, 9, True), 9), 1, True)
 
 
-@query(r"""SELECT conv_id, turn, regexp_extract(raw, '^(?i:/(?:msg|tell|w|whisper|reply|r))\s+(\S+)\s+([^\n]*)$', 2) AS text FROM (
-  SELECT conv_id, turn, (CASE conv_id % 3 WHEN 0 THEN '/Msg bob ' WHEN 1 THEN '/reply ' ELSE '/say ' END) || text AS raw FROM conversations WHERE NOT regexp_matches(text, '[\n\r\x{85}\x{2028}\x{2029}]')) WHERE regexp_matches(raw, '^(?i:/(?:msg|tell|w|whisper|reply|r))\s+(\S+)\s+([^\n]*)$')""")
+_PRIVATE = r"^(?i:/(?:msg|tell|w|whisper|reply|r))[\s\x0B]+([^\s\x0B]+)[\s\x0B]+([^\n\r\x{85}\x{2028}\x{2029}]*)$"
+
+
+@query(f"""SELECT conv_id, turn, regexp_extract(raw, '{_PRIVATE}', 2) AS text FROM (
+  SELECT conv_id, turn, (CASE conv_id % 3 WHEN 0 THEN '/Msg bob ' WHEN 1 THEN '/reply ' ELSE '/say ' END) || text AS raw FROM conversations) WHERE regexp_matches(raw, '{_PRIVATE}')""")
 def private_message_source(spark, sf_dir):
-    """All private messages. The SQL leaves out turns with a line break, also where it is a blank before the message."""
+    """All private messages; a line break may be a blank before the message."""
     rows = table(spark, sf_dir, "conversations")
     raw = F.concat(F.when(F.col("conv_id") % 3 == 0, "/Msg bob ").when(F.col("conv_id") % 3 == 1, "/reply ").otherwise("/say "), "text")
     return private_messages(rows.select("conv_id", "turn", raw.alias("text")))
 
 
-@query("SELECT DISTINCT v AS variant FROM (SELECT unnest([lower(c_name), translate(lower(c_name), '@431!0$57+8692', 'aaeiiossttbggz'), replace(translate(lower(c_name), '@431!0$57+8692', 'aaeiiossttbggz'), '#', '#')]) AS v FROM customer)")
+@query(f"""WITH lowered AS (SELECT DISTINCT lower(c_name) AS text FROM customer), decoded AS (SELECT {_STEPS["leet_chars"]("text")} AS text FROM lowered),
+bare AS (SELECT {_STEPS["inline_separators"]("text")} AS text FROM decoded), short AS (SELECT {_repeats("text")} AS text FROM bare)
+SELECT text AS variant FROM lowered UNION SELECT text FROM decoded UNION SELECT text FROM bare UNION SELECT text FROM short""")
 def name_variants(spark, sf_dir):
-    """All variants of names. The SQL has no step for repeats, so it lacks the collapsed ones."""
+    """All variants of names."""
     variants = _users(spark, sf_dir).select(F.explode(normalize.name_variants(F.col("name"))).alias("variant"))
     return variants.distinct()
