@@ -33,6 +33,8 @@ from modengine.llm.wordhash import U64, mix
 
 K = 10
 CELL, ASKED = 20_000, 2_000
+#: Distances that a task holds at once.
+PAIRS = 2_000_000
 #: Entries that the mean bucket of a table has, about.
 BUCKET = 200
 #: Tables, and keys that a query looks into in each, for up to ``BASE_KEYS`` keys; beyond, they grow with the keys.
@@ -90,6 +92,11 @@ def _keys(x: np.ndarray, table: int, widths: tuple[int, ...], probes: int) -> np
     A signed axis costs the square of what its coordinate lacks to the largest; a key costs the sum over its rotations.
     """
     both = [np.concatenate([t, -t], 1) for t in rotations(x, table, widths)]
+    if probes == 1:
+        code = np.zeros(len(x), np.int64)
+        for b in both:
+            code = code * b.shape[1] + np.argmax(b, 1)
+        return code[:, None]
     order = [np.argsort(-b, 1, kind="stable")[:, :probes] for b in both]
     lack = [np.take_along_axis(b, o, 1) for b, o in zip(both, order, strict=True)]
     lack = [(v[:, :1] - v) ** 2 for v in lack]
@@ -136,10 +143,12 @@ def _index(layouts: dict[int, tuple[int, ...]], probing: bool, vectors: bool = T
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Euclidean distances of ``q`` from the columns of ``x``; components are summed in order, as a loop would."""
-    total = np.zeros(x.shape[1])
-    for row, c in zip(x, q.tolist(), strict=True):
-        total += (row - c) ** 2
+    """Euclidean distances of the rows of ``q`` from those of ``x``; components are summed in order, as a loop would."""
+    total = np.zeros((len(q), len(x)))
+    for a, b in zip(np.ascontiguousarray(x.T), q.T, strict=True):
+        step = a[None, :] - b[:, None]
+        step *= step
+        total += step
     return np.sqrt(total)
 
 
@@ -150,21 +159,26 @@ def _nearest(k: int):
     """The ``k + 1`` nearest entries of each question in one cell of a bucket (its own may be among them)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        entries, scores, counts, own = [np.empty(0, np.int64)], [np.empty(0)], [0], left.column("id").to_numpy()
+        entries, scores, counts, own = [np.empty(0, np.int64)], [np.empty(0)], [[0]], left.column("id").to_numpy()
         if left.num_rows and right.num_rows:
-            q, x = _matrix(left.column("vector")), np.ascontiguousarray(_matrix(right.column("vector")).T)
+            q, x = _matrix(left.column("vector")), _matrix(right.column("vector"))
             number = right.column("id").to_numpy()
-            for i in range(len(q)):
-                d = _distances(x, q[i])
-                near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-                near = near[np.lexsort((number[near], d[near]))][: k + 1]
-                entries.append(number[near])
-                scores.append(d[near])
-                counts.append(len(near))
+            step = max(1, PAIRS // len(x))
+            for at in range(0, len(q), step):
+                d = _distances(x, q[at : at + step])
+                reach = np.partition(d, k, 1)[:, k] if len(x) > k + 1 else np.full(len(d), np.inf)
+                row, column = np.nonzero(d <= reach[:, None])
+                order = np.lexsort((number[column], d[row, column], row))
+                row, column = row[order], column[order]
+                first = np.searchsorted(row, np.arange(len(d)))
+                kept = np.arange(len(row)) - first[row] <= k
+                entries.append(number[column[kept]])
+                scores.append(d[row[kept], column[kept]])
+                counts.append(np.bincount(row[kept], minlength=len(d)))
         else:
             own = own[:0]
         near = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), pa.array(np.concatenate(entries))], ["score", "entry"])
-        return pa.table({"question": own, "near": pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), near)})
+        return pa.table({"question": own, "near": pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), near)})
 
     return run
 
