@@ -35,6 +35,8 @@ GRAM = 6
 #: Text bytes whose seeds one reference block holds, and that a map task buffers.
 BLOCK_BYTES = 8 << 20
 BUFFER_BYTES = 6 << 20
+#: Tasks that blocks are dealt to, at most.
+TASKS = 20_000
 #: Seeds (8 bytes each) of a block beyond which it is split.
 BLOCK_SEEDS = 4_000_000
 
@@ -217,7 +219,8 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     counts = rows.mapInArrow(_seed_counts(window, gram, blocks), "block long, n long").groupBy("block").agg(F.sum("n").alias("n"))
     split = {r["block"]: -(-r["n"] // BLOCK_SEEDS) for r in counts.filter(F.col("n") > BLOCK_SEEDS).collect()}  # one entry for BLOCK_SEEDS seeds at most
     seeds = rows.mapInArrow(_seed_scan(window, gram, blocks, split, schema), SEEDS)
-    return seeds.groupBy("block").applyInArrow(_block_factors, SPANS)
+    # a task has a few blocks however large the corpus is
+    return seeds.repartition(min(blocks, TASKS), "block").groupBy("block").applyInArrow(_block_factors, SPANS)
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, dict[str, str]]:
