@@ -3,7 +3,9 @@
 Tokens are counted by cell (source, language, topic). Raking multiplies the cells' weights, dimension by dimension, until
 each marginal has its target share. A document is drawn with probability min(1, scale x weight), where the scale makes the
 expected tokens equal the budget; where a cell's probability is cut at 1, the drawn documents carry the rest as a
-multiplier, so weighted tokens meet the targets in expectation.
+multiplier, so weighted tokens meet the targets in expectation. Drawn documents without multipliers meet them where the
+probabilities are ``bounded``: raked again under the limit of 1, so that uncut cells of the same value take up what cut
+ones lack. A value whose target is more than all its tokens is then drawn whole, and its dimension's others share the rest.
 
 Topics come from spherical k-means over hashed word frequencies. Up to ``SAMPLE`` different frequencies (those of smallest
 hash) only give the starting points; each round sums over all documents, in whole numbers, so the result does not depend
@@ -182,7 +184,25 @@ def scale(tokens: np.ndarray, weights: np.ndarray, budget: float) -> float:
     return 1.0 / float(w[w > 0].min()) if (w > 0).any() else 0.0
 
 
-def _rake_small(cells: DataFrame, targets: Mapping[str, Mapping], budget: float) -> DataFrame:
+def bounded_probabilities(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], start: np.ndarray, budget: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities, raked from ``start``, for which each dimension's expected tokens share ``budget`` by the targets."""
+    mass, total, wanted = tokens * start, max(float(tokens.sum()), 1.0), []
+    for code, target in zip(codes, targets, strict=True):
+        have = np.bincount(code, tokens, len(target))
+        rate = np.divide(target, have, out=np.zeros(len(target)), where=have > 0)
+        wanted.append(have * np.minimum(1, scale(have, rate, budget) * rate))
+    for _ in range(rounds):
+        off = 0.0
+        for code, want in zip(codes, wanted, strict=True):
+            have = np.bincount(code, mass, len(want))
+            off = max(off, float(np.abs(have - want).max(initial=0)) / total)
+            mass = np.minimum(tokens, mass * np.where(have > 0, want / np.maximum(have, 1e-300), 0.0)[code])
+        if off < TOLERANCE:
+            break
+    return np.divide(mass, tokens, out=start.astype(float), where=tokens > 0)
+
+
+def _rake_small(cells: DataFrame, targets: Mapping[str, Mapping], budget: float, bounded: bool = False) -> DataFrame:
     """(DIMENSIONS, weight, probability, factor) for each cell, on the driver: there are at most ``DRIVER_CELLS``."""
     rows = sorted(cells.collect(), key=lambda r: [(r[d] is not None, r[d]) for d in DIMENSIONS])
     tokens = np.array([r["tokens"] for r in rows], float)
@@ -195,36 +215,30 @@ def _rake_small(cells: DataFrame, targets: Mapping[str, Mapping], budget: float)
         wanted.append(np.array([goal.get(v, 0.0) for v in values]))
     weights = rake(tokens, codes, wanted)
     factor = scale(tokens, weights, budget * tokens.sum())
-    made = [(*(r[d] for d in DIMENSIONS), float(w), float(min(1.0, factor * w)), float(factor)) for r, w in zip(rows, weights, strict=True)]
+    chances = np.minimum(1.0, factor * weights)
+    if bounded:
+        chances = bounded_probabilities(tokens, codes, wanted, chances, budget * tokens.sum())
+    made = [(*(r[d] for d in DIMENSIONS), float(w), float(p), float(factor)) for r, w, p in zip(rows, weights, chances, strict=True)]
     schema = ", ".join(f"{d} {cells.schema[d].dataType.simpleString()}" for d in DIMENSIONS) + ", weight double, probability double, factor double"
     return cells.sparkSession.createDataFrame(made, schema)
 
 
-def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping], budget: float, rounds: int = ROUNDS) -> DataFrame:
-    """The same over a table of cells. A step sums the mass of each value of a dimension, in part before the exchange, and
-    joins the factors back; a round is a written table that replaces the one before."""
-    spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0]
-    goals = {}
-    for d in DIMENSIONS:
-        have = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("have")).filter("have > 0")
-        if targets.get(d):
-            given = spark.createDataFrame(list(targets[d].items()), f"given {cells.schema[d].dataType.simpleString()}, goal double")
-            have = have.join(given, F.col("value").eqNullSafe(F.col("given")), "left").select("value", F.coalesce("goal", F.lit(0.0)).alias("goal"))
-        else:
-            have = have.select("value", F.pow("have", F.lit(TEMPER)).alias("goal"))
-        have = saved(have, "rake-goals")
-        whole = have.agg(F.sum("goal")).first()[0] or 1.0
-        goals[d] = have.select("value", (F.col("goal") * total / whole).alias("goal"))
-    now, path = cells.withColumn("mass", F.col("tokens").cast("double")), None
+def _rounds(now: DataFrame, goals: Mapping[str, DataFrame], total: float, rounds: int, bounded: bool) -> DataFrame:
+    """``now`` with its ``mass`` raked to ``goals`` (value, goal) by dimension; ``bounded`` by the tokens of a cell.
+
+    A step sums the mass of each value of a dimension, in part before the exchange, and joins the factors back; a round is
+    a written table that replaces the one before.
+    """
+    spark, columns, path = now.sparkSession, now.columns, None
     for _ in range(rounds):
         off = 0.0
         for d in DIMENSIONS:
             sums = now.groupBy(F.col(d).alias("value")).agg(F.sum("mass").alias("mass_sum"))
-            steps = sums.join(goals[d].withColumnRenamed("value", "goal_value"), F.col("value").eqNullSafe(F.col("goal_value")))
+            steps = sums.join(goals[d].select(F.col("value").alias("goal_value"), "goal"), F.col("value").eqNullSafe(F.col("goal_value")))
             steps = saved(steps.select("value", F.abs(F.col("mass_sum") - F.col("goal")).alias("off"), F.when(F.col("mass_sum") > 0, F.col("goal") / F.col("mass_sum")).otherwise(F.lit(0.0)).alias("step")), "rake-steps")
             off = max(off, steps.agg(F.max("off")).first()[0] or 0.0)
-            now = now.join(steps, F.col(d).eqNullSafe(F.col("value")), "left").withColumn("mass", F.col("mass") * F.coalesce("step", F.lit(1.0))).select(*cells.columns, "mass")
+            raked = F.col("mass") * F.coalesce("step", F.lit(1.0))
+            now = now.join(steps, F.col(d).eqNullSafe(F.col("value")), "left").withColumn("mass", F.least(F.col("tokens").cast("double"), raked) if bounded else raked).select(*columns)
         before, path = path, scratch_path(spark, "raked")
         now.write.parquet(path)
         now = spark.read.schema(now.schema).parquet(path)
@@ -232,19 +246,49 @@ def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping], budget: float,
             delete(spark, before)
         if off < TOLERANCE * max(total, 1):
             break
-    now = now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("mass") / F.col("tokens")).otherwise(F.lit(1.0)))
-    # raise the factor until the cells that it cuts at 1 stay the same: each step is exact for the cells cut before it
+    return now
+
+
+def _factor(table: DataFrame, weight: Column, tokens: Column, budget: float) -> float:
+    """``scale`` over a table: raises the factor until the rows that it cuts at 1 stay the same; each step is exact for
+    the rows cut before it."""
     factor, cut = 0.0, -1
     while True:
-        over = F.col("weight") * factor > 1
-        full, rest, n, least = now.agg(F.sum(F.when(over, F.col("tokens")).otherwise(0.0)), F.sum(F.when(~over, F.col("weight") * F.col("tokens")).otherwise(0.0)), F.count_if(over), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+        over = weight * factor > 1
+        full, rest, n, least = table.agg(F.sum(F.when(over, tokens).otherwise(0.0)), F.sum(F.when(~over, weight * tokens).otherwise(0.0)), F.count_if(over), F.min(F.when(weight > 0, weight))).first()
         if n == cut:
-            break
+            return factor
         if not rest:
-            factor = 1.0 / least if least else 0.0
-            break
-        cut, factor = n, max((budget * total - full) / rest, 0.0)
-    return now.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability"), F.lit(float(factor)).alias("factor"))
+            return 1.0 / least if least else 0.0
+        cut, factor = n, max((budget - full) / rest, 0.0)
+
+
+def _rake_large(cells: DataFrame, targets: Mapping[str, Mapping], budget: float, bounded: bool = False, rounds: int = ROUNDS) -> DataFrame:
+    """The same over a table of cells."""
+    spark = cells.sparkSession
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    goals, caps = {}, {}
+    for d in DIMENSIONS:
+        have = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("have")).filter("have > 0")
+        if targets.get(d):
+            given = spark.createDataFrame(list(targets[d].items()), f"given {cells.schema[d].dataType.simpleString()}, goal double")
+            have = have.join(given, F.col("value").eqNullSafe(F.col("given")), "left").select("value", "have", F.coalesce("goal", F.lit(0.0)).alias("goal"))
+        else:
+            have = have.select("value", "have", F.pow("have", F.lit(TEMPER)).alias("goal"))
+        have = saved(have, "rake-goals")
+        whole = have.agg(F.sum("goal")).first()[0] or 1.0
+        goals[d] = have.select("value", (F.col("goal") * total / whole).alias("goal"))
+        if bounded:
+            rate = F.col("goal") / F.col("have")
+            caps[d] = have.select("value", (F.col("have") * F.least(F.lit(1.0), rate * _factor(have, rate, F.col("have"), budget * total))).alias("goal"))
+    now = _rounds(cells.withColumn("mass", F.col("tokens").cast("double")), goals, total, rounds, False)
+    now = now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("mass") / F.col("tokens")).otherwise(F.lit(1.0)))
+    factor = float(_factor(now, F.col("weight"), F.col("tokens"), budget * total))
+    now = now.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * factor))
+    if bounded:
+        now = _rounds(now.withColumn("mass", F.col("tokens") * F.col("probability")), caps, total, rounds, True)
+        now = now.withColumn("probability", F.when(F.col("tokens") > 0, F.col("mass") / F.col("tokens")).otherwise(F.col("probability")))
+    return now.select(*DIMENSIONS, "weight", "probability", F.lit(factor).alias("factor"))
 
 
 def _starting_points(measured: DataFrame, feats: str, seed: int) -> np.ndarray:
@@ -256,7 +300,7 @@ def _starting_points(measured: DataFrame, feats: str, seed: int) -> np.ndarray:
     return _unpack([r[1] for r in hashed.distinct().orderBy("h", feats).limit(SAMPLE).collect()])
 
 
-def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col: str, lang_col: str, targets: Mapping[str, Mapping] | None, budget: float, driver_cells: int, seed: int, texts: bool) -> DataFrame:
+def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col: str, lang_col: str, targets: Mapping[str, Mapping] | None, budget: float, driver_cells: int, seed: int, texts: bool, bounded: bool) -> DataFrame:
     """``docs`` with a struct ``out``: topic, n_tokens, weight, probability, sampled. Without ``texts``, that column goes.
 
     Texts are read twice where they stay, rather than written in between.
@@ -274,7 +318,7 @@ def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col:
         rows = docs.mapInArrow(_assign(at, full.names, centres), full)
     few = cells.count() <= driver_cells
     with temporary_tables(docs.sparkSession):
-        chances = (_rake_small if few else _rake_large)(cells, dict(targets or {}), budget)
+        chances = (_rake_small if few else _rake_large)(cells, dict(targets or {}), budget, bounded)
         chances = chances if few else kept(chances, "mix-chances")
     names = {c: fresh_name(rows, f"{out}_{c}") for c in chances.columns}
     chances = chances.toDF(*names.values())
@@ -292,20 +336,20 @@ def _decided(docs: DataFrame, out: str, id_col: str, text_col: str, source_col:
     return joined.select(*[c for c in docs.columns if texts or c != text_col], made.alias(out))
 
 
-def mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = DRIVER_CELLS, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = DRIVER_CELLS, seed: int = SEED, bounded: bool = False) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, multiplier, sampled) for each row of ``docs``.
 
     targets: for "source", "lang" or "topic" a mapping of values to shares; missing dimensions get the tempered shares
     of the corpus. Tokens are words; null text has none. Null sources and languages are values like others. Rows that
     share an id, the null id too, are drawn together. The empty table gives no rows. weight is the raked weight of a token, multiplier what a drawn document counts for
-    beyond its probability.
+    beyond its probability. ``bounded``: see above.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    measured = _decided(slim, "mix", "doc_id", "text", "source", "lang", targets, budget, driver_cells, seed, texts=False)
+    measured = _decided(slim, "mix", "doc_id", "text", "source", "lang", targets, budget, driver_cells, seed, texts=False, bounded=bounded)
     return measured.select("doc_id", "source", "lang", "mix.*")
 
 
-def sample_mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = DRIVER_CELLS, seed: int = SEED) -> DataFrame:
+def sample_mixture(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", driver_cells: int = DRIVER_CELLS, seed: int = SEED, bounded: bool = False) -> DataFrame:
     """The drawn rows of ``docs``, with their columns; draws are those of ``mixture``."""
     out = fresh_name(docs, "mix")
-    return _decided(docs, out, id_col, text_col, source_col, lang_col, targets, budget, driver_cells, seed, texts=True).filter(F.col(out)["sampled"]).select(*docs.columns)
+    return _decided(docs, out, id_col, text_col, source_col, lang_col, targets, budget, driver_cells, seed, texts=True, bounded=bounded).filter(F.col(out)["sampled"]).select(*docs.columns)

@@ -28,7 +28,7 @@ MIN_DOCS = 200
 BROADCAST_GROUPS = 50_000
 SALTS = 64
 #: Measures (per mille, or hundredths of a character) with the least distance of a limit from the quantile.
-MARGINS = {"symbols_pm": 150, "dup_lines_pm": 300, "repeats_pm": 200, "word_len": 200}
+MARGINS = {"symbols_pm": 150, "dup_lines_pm": 300, "repeats_pm": 100, "word_len": 200}
 BELOW = ("word_len",)
 
 
@@ -135,7 +135,11 @@ def judged(measured: DataFrame, m: str, out: str, table: DataFrame, group: tuple
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """A row for each row of ``docs``: the base measures, base_failed and kept. Null text has no words and fails."""
+    """A row for each row of ``docs``: the base measures, base_failed and kept.
+
+    Null and empty texts have no words and fail; long texts are measured whole. Repeated rows are judged alike, and each
+    counts in the sketches. The empty table gives no rows.
+    """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(group[0]).alias("lang"), F.col(group[1]).alias("source"))
     measured = saved(measures(slim, "text", "m").drop("text"), "quality-measures")
     rows = judged(measured, "m", "kept", learned_limits(measured, "m"))
@@ -147,6 +151,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", group: tuple[str, str] =
     """The rows of ``docs`` that are kept, with their columns.
 
     Measures are made twice, for the limits and for the verdicts, rather than written with the texts in between.
+    Null texts, repeated rows and the empty table are as in ``quality_report``.
     """
     m, passed = fresh_name(docs, "measures"), fresh_name(docs, "passed")
     measured = measures(docs, text_col, m)

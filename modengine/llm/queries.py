@@ -114,7 +114,7 @@ WITH words AS (
   SELECT level, lang, source, measure, max(total) AS total, min(CASE WHEN 10 * upto >= total THEN bucket END) AS q10, min(CASE WHEN 10 * upto >= 5 * total THEN bucket END) AS q50, min(CASE WHEN 10 * upto >= 9 * total THEN bucket END) AS q90
   FROM run GROUP BY ALL
 ), lim AS (
-  SELECT level, lang, source, measure, total, q90 + greatest(3 * (q90 - q50), CASE measure WHEN 'symbols_pm' THEN 150 WHEN 'dup_lines_pm' THEN 300 ELSE 200 END) AS high,
+  SELECT level, lang, source, measure, total, q90 + greatest(3 * (q90 - q50), CASE measure WHEN 'symbols_pm' THEN 150 WHEN 'dup_lines_pm' THEN 300 WHEN 'repeats_pm' THEN 100 ELSE 200 END) AS high,
          CASE WHEN measure = 'word_len' THEN q10 - greatest(3 * (q50 - q10), 200) END AS low
   FROM q
 ), chosen AS (

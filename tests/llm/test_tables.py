@@ -284,6 +284,38 @@ def test_raking_and_scale():
         assert (tokens * np.minimum(1, f * w)).sum() == pytest.approx(budget)
 
 
+def test_bounded_probabilities_meet_marginals_that_cut_ones_miss():
+    tokens = np.array([6000.0, 3000, 980, 12, 8])
+    codes = [np.array([0, 1, 0, 2, 2]), np.array([0, 0, 1, 0, 1])]
+    targets = [np.array([0.55, 0.448, 0.002]), np.array([0.92, 0.08])]
+    w = mixing.rake(tokens, codes, targets)
+    cut = np.minimum(1, mixing.scale(tokens, w, 7000) * w)
+    p = mixing.bounded_probabilities(tokens, codes, targets, cut, 7000)
+    assert (cut == 1).any() and (p >= 0).all() and (p <= 1).all() and (tokens * p).sum() == pytest.approx(7000)
+    # 7000 x 0.448 is more than the 3000 there are: they are all drawn, and the two others share the rest by their targets
+    assert np.bincount(codes[1], tokens * p) == pytest.approx(7000 * targets[1])
+    want = np.array([4000 * 0.55 / 0.552, 3000, 4000 * 0.002 / 0.552])
+    assert np.bincount(codes[0], tokens * p) == pytest.approx(want, rel=1e-3)
+    assert len(mixing.bounded_probabilities(np.zeros(0), [np.zeros(0, int)], [np.zeros(0)], np.zeros(0), 0.0)) == 0
+
+
+@pytest.mark.parametrize("driver_cells", [10_000, 0])
+def test_bounded_mixture(spark, driver_cells, monkeypatch):
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-4 if driver_cells == 0 else mixing.TOLERANCE)
+    monkeypatch.setattr(mixing, "TOPICS", 1)
+    rows = [(i, "some words of a document here", "en" if i % 2 else "de", "rare" if i % 50 == 0 else "a" if i % 3 else "b", 0, "x", "x") for i in range(300)]
+    df = docs_of(spark, rows).repartition(3)
+    targets = {"source": {"a": 0.6, "b": 0.35, "rare": 0.05}, "lang": {"en": 0.5, "de": 0.5}}
+    got = mixing.mixture(df, targets, budget=0.5, driver_cells=driver_cells, bounded=True).collect()
+    share = lambda d, v: sum(r.probability for r in got if r[d] == v) / 150
+    # six rows of "rare", all German, are at most 6/150; what is short goes to the other sources alike
+    assert share("source", "rare") == pytest.approx(0.04, abs=1e-3) and share("source", "a") == pytest.approx(0.96 * 0.6 / 0.95, abs=1e-3)
+    assert share("lang", "en") == pytest.approx(0.5, abs=1e-3)
+    drawn = mixing.sample_mixture(df, targets, budget=0.5, driver_cells=driver_cells, bounded=True).collect()
+    assert Counter(r.doc_id for r in drawn) == Counter(r.doc_id for r in got if r.sampled)
+    assert mixing.sample_mixture(df.limit(0), driver_cells=driver_cells, bounded=True).count() == 0
+
+
 def test_topics_separate_vocabularies():
     rng = np.random.default_rng(0)
     base = rng.random((3, mixing.FEATURES)) ** 6
