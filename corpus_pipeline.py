@@ -31,8 +31,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the target mixture."""
-    return sample_mixture(docs)
+    """The documents drawn for the target mixture; they carry no multipliers, so probabilities are raked under their bound."""
+    return sample_mixture(docs, bounded=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
