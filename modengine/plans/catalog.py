@@ -17,7 +17,7 @@ from modengine.functions import domains, fixed, normalize, rules, words
 from modengine.functions.words import Lexicon, strings
 from modengine.operators import gates, lexicon, limits, reports
 from modengine.operators.decide import Moderator, dry_run
-from modengine.sources.messages import audit_lines, private_messages
+from modengine.sources.messages import audit_lines, private_messages, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages: the lines of documents that are not empty."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter("text <> ''")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter("text <> ''")
     return rows.select((F.col("doc_id") * 1000000 + F.col("pos")).alias("msg_id"), F.timestamp_seconds(1704067200 + F.col("doc_id") * 7 + F.col("pos")).alias("ts"), (F.col("doc_id") % 97).cast("string").alias("user_id"), F.concat(F.lit("user"), (F.col("doc_id") % 97).cast("string")).alias("user_name"), F.col("source").alias("channel"), "text")
 
 

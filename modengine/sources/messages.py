@@ -19,6 +19,15 @@ def stream_messages(spark: SparkSession, path: str, form: str = "parquet", files
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly to all cores where their files have fewer splits than that, as a small table has.
+
+    A message costs far more to check than to move. Large tables have more splits and are not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def private_messages(raw: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``raw`` that are private-message commands, with the message as text.
 
