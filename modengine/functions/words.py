@@ -1,15 +1,18 @@
 """Word-list detectors: first exact match, fuzzy match, token and message tests.
 
-Lexicons are small and become literal arrays. The dictionary of common words may be large: it stays a table, and a
-message carries the array of those of its own candidate strings that the dictionary holds (``with_common_words``).
+Lexicons are small and become literal arrays. The dictionary of common words may have any size: a message carries the
+array of those of its own candidate strings that the dictionary holds (``with_common_words``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modengine.functions.fixed import TWO_LETTER_WORDS
@@ -17,6 +20,8 @@ from modengine.functions.fixed import TWO_LETTER_WORDS
 RELATIVE, MOST_EDITS = 0.35, 3
 #: Words that a lexicon may have as a literal array.
 MOST_WORDS = 10_000
+#: Words of a dictionary that the workers hold; a larger one is joined.
+MOST_COMMON = 600_000
 
 
 @dataclass(frozen=True)
@@ -188,19 +193,42 @@ def candidates(text: Column, lexicon: Lexicon) -> Column:
     return F.array_distinct(F.concat(F.transform(tokens(F.lower(text)), trimmed), tokens(_letters(text)), blobs))
 
 
-def with_common_words(messages: DataFrame, candidate: Column, dictionary: DataFrame, key: str, out: str = "common") -> DataFrame:
+def _keep(words: list[str], spark: SparkSession):
+    """A function of Arrow batches whose last column is arrays: these without the strings that are not in ``words``."""
+    known = spark.sparkContext.broadcast(pa.array(words, pa.string()))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(batch.num_columns - 1)
+            values = found.flatten()
+            inside = pc.is_in(values, value_set=known.value)
+            ends = np.cumsum(np.concatenate([[0], pc.list_value_length(found).to_numpy(zero_copy_only=False)]))
+            before = np.cumsum(np.concatenate([[0], inside.to_numpy(zero_copy_only=False)]))
+            kept = pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), values.filter(inside))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], kept], batch.schema.names)
+
+    return keep
+
+
+def with_common_words(messages: DataFrame, candidate: Column, dictionary: DataFrame, key: str, out: str = "common", most: int = MOST_COMMON) -> DataFrame:
     """``messages`` with the array ``out`` of the candidates that ``dictionary`` (word) holds; ``key`` is unique.
 
-    The dictionary may be of any size: candidates are exploded and joined, not looked up in an array. Only those that a
-    common-word test would look up are: longer than two characters and not a short number. Messages are computed once:
-    each goes along with one row of its own, whose word is in no dictionary and hot for no task.
+    A dictionary of up to ``most`` words is counted, sent to the workers and looked up there, and no message moves. A
+    larger one is joined: candidates are exploded, and each message goes along with one row of its own, whose word is in
+    no dictionary and hot for no task. Only candidates that a common-word test would look up are: longer than two
+    characters and not a short number.
     """
     looked_up = F.filter(F.array_distinct(candidate), lambda w: (F.length(w) > 2) & ~((F.length(w) <= 4) & w.rlike("^[0-9]+$")))
+    looked_up = F.coalesce(looked_up, F.array().cast("array<string>"))
+    known = dictionary.select(F.col("word").alias("__word")).filter("length(word) > 2").distinct()
+    if not dictionary.isStreaming:
+        held = [r[0] for r in known.limit(most + 1).collect()]
+        if len(held) <= most:
+            rows = messages.select("*", looked_up.alias(out))
+            return rows.mapInArrow(_keep(held, messages.sparkSession), rows.schema)
     own = F.concat(F.lit("\0"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    words_of = F.concat(F.array(own), F.coalesce(looked_up, F.array().cast("array<string>")))
-    rows = messages.withColumn("__words", words_of).select(F.struct(*messages.columns).alias("__row"), F.posexplode("__words").alias("__at", "__word"))
+    rows = messages.withColumn("__words", F.concat(F.array(own), looked_up)).select(F.struct(*messages.columns).alias("__row"), F.posexplode("__words").alias("__at", "__word"))
     rows = rows.select(F.col(f"__row.{key}").alias("__key"), F.when(F.col("__at") == 0, F.col("__row")).alias("__row"), "__word")
-    known = dictionary.select(F.col("word").alias("__word")).distinct().withColumn("__known", F.lit(True))
-    joined = rows.join(known, "__word", "left")
+    joined = rows.join(known.withColumn("__known", F.lit(True)), "__word", "left")
     found = joined.groupBy("__key").agg(F.first("__row", ignorenulls=True).alias("__row"), F.collect_set(F.when(F.col("__known"), F.col("__word"))).alias(out))
     return found.select("__row.*", out)

@@ -141,3 +141,13 @@ def test_config_loading(spark, caplog):
     assert config.custom_rules == (CustomRule("a", "x+"),) and config.server_name_message == "no %name%"
     assert len([m for m in caplog.messages if "Invalid regex" in m or "max_length" in m]) == 2
     assert custom_rules(None) == () and ModerationConfig().problems() == []
+
+
+def test_dictionary_is_looked_up_or_joined_alike(spark):
+    texts = ["the cat sat", "the the cat 1234 12345", "no", "", None, "cat", "x " * 30000 + "cat"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    dictionary = spark.createDataFrame([("the",), ("cat",), ("cat",), ("1234",), ("12345",), ("no",), (None,)], "word string")
+    found = [{r.i: (r.t, sorted(r.common)) for r in words.with_common_words(rows, words.tokens(F.col("t")), dictionary, "i", most=most).collect()} for most in (10, 3, 0)]
+    assert found[0] == found[1] == found[2] and found[0][1][1] == ["12345", "cat", "the"] and found[0][4] == (None, [])
+    empty = words.with_common_words(rows.filter("i < 0"), words.tokens(F.col("t")), dictionary.filter("word = ''"), "i")
+    assert empty.columns == ["i", "t", "common"] and empty.count() == 0
