@@ -340,7 +340,8 @@ def contains_any(spark, sf_dir):
     return lines(spark, sf_dir).select("msg_id", words.contains_any(F.col("text"), strings(LEXICON.fuzzy)).alias("hit"))
 
 
-@query(rf"""WITH {_NORMALIZED}, {_DICTIONARY}, {_LEX}, squeezed AS (SELECT msg_id, lower({_repeats("text")}) AS text FROM normalized),
+#: The word tests over the table normalized, with the tables dict and lex.
+_WORDS = rf"""squeezed AS (SELECT msg_id, lower({_repeats("text")}) AS text FROM normalized),
 split AS (SELECT msg_id, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS ts, list_filter(string_split_regex(regexp_replace(text, '[^a-z\s]', '', 'g'), '\s+'), lambda t: t <> '') AS ls FROM squeezed),
 trimmed AS (SELECT msg_id, regexp_replace(u, '^[^a-z]+|[^a-z]+$', '', 'g') AS t FROM (SELECT msg_id, unnest(ts) AS u FROM split)), {_VERDICTS},
 blocked AS (SELECT DISTINCT msg_id FROM trimmed JOIN verdicts USING (t) WHERE bad),
@@ -351,25 +352,33 @@ covers AS (SELECT h.msg_id, w, p, min(pos) AS head, string_agg(l, '' ORDER BY i)
   FROM hits h JOIN letters x ON x.msg_id = h.msg_id AND pos < p + length(w) AND pos + length(l) > p GROUP BY ALL),
 spread AS (SELECT DISTINCT msg_id FROM covers WHERE NOT {_common("blob")} AND NOT (all_common AND p > head) AND NOT (n = 1 AND p > head AND p - head + length(w) < length(blob))),
 rests AS (SELECT msg_id, string_agg(l, '' ORDER BY i) FILTER (NOT common) AS r FROM letters GROUP BY msg_id),
-loose AS (SELECT msg_id FROM rests WHERE length(r) >= 3 AND {_fuzzy("r")})
-SELECT msg_id, msg_id IN (SELECT msg_id FROM blocked) OR len(ts) = 2 AND array_to_string(ts, '') IN ('that', 'thewith') AS bad,
-  msg_id IN (SELECT msg_id FROM spread) OR msg_id IN (SELECT msg_id FROM loose) AS obfuscated FROM split""")
+loose AS (SELECT msg_id FROM rests WHERE length(r) >= 3 AND {_fuzzy("r")})"""
+_BAD = "msg_id IN (SELECT msg_id FROM blocked) OR len(ts) = 2 AND array_to_string(ts, '') IN ('that', 'thewith')"
+_OBFUSCATED = "msg_id IN (SELECT msg_id FROM spread) OR msg_id IN (SELECT msg_id FROM loose)"
+
+
+@query(f"WITH {_NORMALIZED}, {_DICTIONARY}, {_LEX}, {_WORDS} SELECT msg_id, {_BAD} AS bad, {_OBFUSCATED} AS obfuscated FROM split")
 def word_list_matches(spark, sf_dir):
     rows = lines(spark, sf_dir).select("msg_id", normalize.collapse_repeats(normalize.normalize(F.col("text"))).alias("text"))
     rows = words.with_common_words(rows, words.candidates(F.col("text"), LEXICON), dictionary(spark, sf_dir), "msg_id")
     return rows.select("msg_id", words.bad_message(F.col("text"), F.col("common"), LEXICON).alias("bad"), words.obfuscated(F.col("text"), F.col("common"), LEXICON).alias("obfuscated"))
 
 
-@query(rf"""WITH {_DICTIONARY}, tlds AS (SELECT unnest([{", ".join(f"'{t}'" for t in fixed.TLDS)}]) AS tld), pages2 AS (SELECT page_id, {_repeats("url")} AS url FROM pages),
-hits AS (SELECT page_id, false AS joined, lower(unnest(regexp_extract_all(url, '(?i)\b(?:[a-z0-9-]+\s*(?:{fixed.SEPARATORS})\s*)+(?:{"|".join(fixed.TLDS)})(?:\s*:\s*\d{{1,5}})?\b'))) AS h FROM pages2
-  UNION ALL SELECT page_id, true, lower(unnest(regexp_extract_all(url, '(?i)\b[a-z0-9-]{{3,}}(?:{"|".join(t for t in fixed.TLDS if len(t) > 2)})\b'))) FROM pages2),
-labels AS (SELECT DISTINCT h, left(h, length(h) - length(tld)) AS part FROM hits JOIN tlds ON joined AND length(h) > length(tld) AND suffix(h, tld)),
-fine AS (SELECT DISTINCT h FROM labels WHERE part = 'example.com' OR {_common("part")}),
-behind AS (SELECT DISTINCT h, trim(regexp_extract(h, '(?s)[,_\-*](.*)$', 1)) AS part FROM hits WHERE NOT joined AND length(h) - length(translate(h, '.,_-*', '')) = 1 AND NOT contains(h, '.')),
-blocked AS (SELECT DISTINCT page_id FROM hits WHERE h <> 'example.com' AND NOT {_common("h")}
-  AND CASE WHEN joined THEN h NOT IN (SELECT h FROM fine) ELSE h NOT IN (SELECT h FROM behind WHERE {_common("part")}) END)
-SELECT page_id, page_id IN (SELECT page_id FROM blocked) OR regexp_matches(url, '(?i)discord\s*(?:{fixed.SEPARATORS}|\s)+(?:gg/\w+|com/invite/\w+)')
-  OR regexp_matches(url, '(?i)(?:join\s+(?:my\s+)?server|\bip:\s*[a-z0-9.\s]+|\bjoin\s+\w+(?:\s*,?\s*\w+)+[,.:]\s*\d{{3,5}})') AS hit FROM pages2""")
+def _domains(texts: str, key: str, name: str) -> str:
+    """SQL: the table sites (key, hit) over ``texts`` (key, text), with the table dict; ``name`` is a present user's."""
+    return rf"""tlds AS (SELECT unnest([{", ".join(f"'{t}'" for t in fixed.TLDS)}]) AS tld), squeezed_texts AS (SELECT {key}, {_repeats("text")} AS text FROM {texts}),
+site_hits AS (SELECT {key}, false AS joined, lower(unnest(regexp_extract_all(text, '(?i)\b(?:[a-z0-9-]+\s*(?:{fixed.SEPARATORS})\s*)+(?:{"|".join(fixed.TLDS)})(?:\s*:\s*\d{{1,5}})?\b'))) AS h FROM squeezed_texts
+  UNION ALL SELECT {key}, true, lower(unnest(regexp_extract_all(text, '(?i)\b[a-z0-9-]{{3,}}(?:{"|".join(t for t in fixed.TLDS if len(t) > 2)})\b'))) FROM squeezed_texts),
+site_labels AS (SELECT DISTINCT h, left(h, length(h) - length(tld)) AS part FROM site_hits JOIN tlds ON joined AND length(h) > length(tld) AND suffix(h, tld)),
+fine AS (SELECT DISTINCT h FROM site_labels WHERE part = '{name}' OR {_common("part")}),
+behind AS (SELECT DISTINCT h, trim(regexp_extract(h, '(?s)[,_\-*](.*)$', 1)) AS part FROM site_hits WHERE NOT joined AND length(h) - length(translate(h, '.,_-*', '')) = 1 AND NOT contains(h, '.')),
+blocked_sites AS (SELECT DISTINCT {key} FROM site_hits WHERE h <> '{name}' AND NOT {_common("h")}
+  AND CASE WHEN joined THEN h NOT IN (SELECT h FROM fine) ELSE h NOT IN (SELECT h FROM behind WHERE {_common("part")}) END),
+sites AS (SELECT {key}, bool_or({key} IN (SELECT {key} FROM blocked_sites) OR regexp_matches(text, '(?i)discord\s*(?:{fixed.SEPARATORS}|\s)+(?:gg/\w+|com/invite/\w+)')
+  OR regexp_matches(text, '(?i)(?:join\s+(?:my\s+)?server|\bip:\s*[a-z0-9.\s]+|\bjoin\s+\w+(?:\s*,?\s*\w+)+[,.:]\s*\d{{3,5}})')) AS hit FROM squeezed_texts GROUP BY {key})"""
+
+
+@query(f"WITH {_DICTIONARY}, texts AS (SELECT page_id, url AS text FROM pages), {_domains('texts', 'page_id', 'example.com')} SELECT page_id, hit FROM sites")
 def domain_matches(spark, sf_dir):
     tlds, names = Moderator().tlds, strings(("example.com",))
     rows = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
@@ -424,8 +433,22 @@ def decisions_full(spark, sf_dir):
     return moderator.decide(lines(spark, sf_dir), dictionary(spark, sf_dir), exempt).select("msg_id", "user_id", "bypassed", "blocked", "rule", "block_message")
 
 
-@query()
+_SCRIPTS = "|".join(rf"[\x00-\x7F\p{{{s.capitalize()}}}]*" for s in rules.SCRIPTS)
+_RUN = " AND ".join(f"c = cs[i - {n}]" for n in range(1, 6))
+#: FULL's rules over lines without users and dictionary, in order.
+_DRY = rf"""{_NORMALIZED}, dict AS (SELECT '' AS word WHERE false), {_LEX}, {_WORDS},
+texts AS (SELECT msg_id, text FROM lines UNION ALL SELECT msg_id, text FROM normalized), {_domains("texts", "msg_id", "")},
+whole AS (SELECT msg_id, lines.text, normalized.text AS n, ts, hit FROM lines JOIN normalized USING (msg_id) JOIN split USING (msg_id) JOIN sites USING (msg_id)),
+decided AS (SELECT msg_id, CASE WHEN regexp_matches(text, '[^\x{{0000}}-\x{{00FF}}]') THEN 'Illegal Characters' WHEN regexp_matches(text, '{_TAG}') THEN 'MiniMessage'
+    WHEN regexp_matches(text, '{_COLOR}') THEN 'Color Code' WHEN {_UTF16} > 120 THEN 'Message Too Long'
+    WHEN {_chars("text", f"i > 5 AND {_RUN} AND c NOT IN (chr(13), chr(133), chr(8232), chr(8233))")} <> '' THEN 'Repeated Character Spam'
+    WHEN regexp_matches(text, '{_IP}') THEN 'IP' WHEN hit THEN 'Domain' WHEN {_BAD} OR {_OBFUSCATED} THEN 'Swear' WHEN regexp_matches(n, '[A-Z]{{9,}}') THEN 'Custom: shout'
+    WHEN len(list_filter(string_split_regex(n, '[\s\x0B\x1C-\x1F]+'), lambda t: NOT regexp_full_match(t, '(?:{_SCRIPTS})'))) > 0 THEN 'Mixed Script' END AS rule FROM whole)"""
+
+
+@query(f"WITH {_DRY} SELECT msg_id, rule IS NOT NULL AS blocked, rule FROM decided")
 def dry_run_decisions(spark, sf_dir):
+    """All rules in order, but for those on users and the dictionary."""
     return dry_run(Moderator(FULL, LEXICON), lines(spark, sf_dir).select("msg_id", "text")).select("msg_id", "blocked", "rule")
 
 
