@@ -364,15 +364,16 @@ def word_list_matches(spark, sf_dir):
     return rows.select("msg_id", words.bad_message(F.col("text"), F.col("common"), LEXICON).alias("bad"), words.obfuscated(F.col("text"), F.col("common"), LEXICON).alias("obfuscated"))
 
 
-def _domains(texts: str, key: str, name: str) -> str:
-    """SQL: the table sites (key, hit) over ``texts`` (key, text), with the table dict; ``name`` is a present user's."""
+def _domains(texts: str, key: str, *names: str) -> str:
+    """SQL: the table sites (key, hit) over ``texts`` (key, text), with the table dict; ``names`` are those of present users."""
+    present = ", ".join(f"'{n}'" for n in names or ("",))
     return rf"""tlds AS (SELECT unnest([{", ".join(f"'{t}'" for t in fixed.TLDS)}]) AS tld), squeezed_texts AS (SELECT {key}, {_repeats("text")} AS text FROM {texts}),
 site_hits AS (SELECT {key}, false AS joined, lower(unnest(regexp_extract_all(text, '(?i)\b(?:[a-z0-9-]+\s*(?:{fixed.SEPARATORS})\s*)+(?:{"|".join(fixed.TLDS)})(?:\s*:\s*\d{{1,5}})?\b'))) AS h FROM squeezed_texts
   UNION ALL SELECT {key}, true, lower(unnest(regexp_extract_all(text, '(?i)\b[a-z0-9-]{{3,}}(?:{"|".join(t for t in fixed.TLDS if len(t) > 2)})\b'))) FROM squeezed_texts),
 site_labels AS (SELECT DISTINCT h, left(h, length(h) - length(tld)) AS part FROM site_hits JOIN tlds ON joined AND length(h) > length(tld) AND suffix(h, tld)),
-fine AS (SELECT DISTINCT h FROM site_labels WHERE part = '{name}' OR {_common("part")}),
+fine AS (SELECT DISTINCT h FROM site_labels WHERE part IN ({present}) OR {_common("part")}),
 behind AS (SELECT DISTINCT h, trim(regexp_extract(h, '(?s)[,_\-*](.*)$', 1)) AS part FROM site_hits WHERE NOT joined AND length(h) - length(translate(h, '.,_-*', '')) = 1 AND NOT contains(h, '.')),
-blocked_sites AS (SELECT DISTINCT {key} FROM site_hits WHERE h <> '{name}' AND NOT {_common("h")}
+blocked_sites AS (SELECT DISTINCT {key} FROM site_hits WHERE h NOT IN ({present}) AND NOT {_common("h")}
   AND CASE WHEN joined THEN h NOT IN (SELECT h FROM fine) ELSE h NOT IN (SELECT h FROM behind WHERE {_common("part")}) END),
 sites AS (SELECT {key}, bool_or({key} IN (SELECT {key} FROM blocked_sites) OR regexp_matches(text, '(?i)discord\s*(?:{fixed.SEPARATORS}|\s)+(?:gg/\w+|com/invite/\w+)')
   OR regexp_matches(text, '(?i)(?:join\s+(?:my\s+)?server|\bip:\s*[a-z0-9.\s]+|\bjoin\s+\w+(?:\s*,?\s*\w+)+[,.:]\s*\d{{3,5}})')) AS hit FROM squeezed_texts GROUP BY {key})"""
@@ -425,7 +426,39 @@ def decisions_pre(spark, sf_dir):
     return decisions(spark, sf_dir).select("msg_id", "user_id", "blocked", "rule")
 
 
-@query()
+_SCRIPTS = "|".join(rf"[\x00-\x7F\p{{{s.capitalize()}}}]*" for s in rules.SCRIPTS)
+_RUN = " AND ".join(f"c = cs[i - {n}]" for n in range(1, 6))
+_BEFORE = rf"""CASE WHEN regexp_matches(text, '[^\x{{0000}}-\x{{00FF}}]') THEN 'Illegal Characters' WHEN regexp_matches(text, '{_TAG}') THEN 'MiniMessage'
+    WHEN regexp_matches(text, '{_COLOR}') THEN 'Color Code' WHEN {_UTF16} > 120 THEN 'Message Too Long'
+    WHEN {_chars("text", f"i > 5 AND {_RUN} AND c NOT IN (chr(13), chr(133), chr(8232), chr(8233))")} <> '' THEN 'Repeated Character Spam'
+    WHEN regexp_matches(text, '{_IP}') THEN 'IP' END"""
+_CUSTOM = "regexp_matches(n, '[A-Z]{9,}')"
+_MIXED = rf"len(list_filter(string_split_regex(n, '[\s\x0B\x1C-\x1F]+'), lambda t: NOT regexp_full_match(t, '(?:{_SCRIPTS})'))) > 0"
+_SITES = "texts AS (SELECT msg_id, text FROM lines UNION ALL SELECT msg_id, text FROM normalized)"
+_WHOLE = "SELECT msg_id, sec, user_id, lines.text, normalized.text AS n, ts, hit FROM lines JOIN normalized USING (msg_id) JOIN split USING (msg_id) JOIN sites USING (msg_id)"
+#: FULL's rules over lines without users and dictionary, in order.
+_DRY = rf"""{_NORMALIZED}, dict AS (SELECT '' AS word WHERE false), {_LEX}, {_WORDS}, {_SITES}, {_domains("texts", "msg_id")}, whole AS ({_WHOLE}),
+decided AS (SELECT msg_id, coalesce({_BEFORE}, CASE WHEN hit THEN 'Domain' WHEN {_BAD} OR {_OBFUSCATED} THEN 'Swear' WHEN {_CUSTOM} THEN 'Custom: shout' WHEN {_MIXED} THEN 'Mixed Script' END) AS rule FROM whole)"""
+_REPLIES = {
+    "Illegal Characters": FULL.whitelist_message, "MiniMessage": FULL.tags_message, "Color Code": FULL.colors_message, "Message Too Long": FULL.length_message.replace("%max%", "120"),
+    "Repeated Character Spam": FULL.repeats_message, "IP": FULL.ip_message, "Rate Limit": FULL.rate_message, "Flood": FULL.flood_message, "Domain": FULL.domain_message, "Swear": FULL.words_message,
+    "Server Name": FULL.server_name_message, "Custom: shout": FULL.custom_rules[0].block_message, "Mixed Script": FULL.mixed_message,
+}
+_REPLY = "CASE rule " + " ".join("WHEN '{}' THEN '{}'".format(rule, reply.replace("'", "''")) for rule, reply in _REPLIES.items()) + " END"
+#: All of FULL's rules: those on users see what earlier rules let pass, and floods only what is not over the rate.
+_DECIDED = rf"""{_NORMALIZED}, {_DICTIONARY}, {_LEX}, {_WORDS}, {_SITES}, {_domains("texts", "msg_id", "user1", "user22")},
+whole AS (SELECT *, user_id::BIGINT % 17 = 0 AS bypassed, {_BEFORE} AS pre, lower({_repeats("n")}) AS squeezed_n FROM ({_WHOLE})),
+paced AS (SELECT msg_id, user_id, sec, n, row_number() OVER (PARTITION BY user_id ORDER BY sec, msg_id) - count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN UNBOUNDED PRECEDING AND 61 PRECEDING) > 8 AS fast
+  FROM whole WHERE pre IS NULL AND NOT bypassed),
+calm AS (SELECT * FROM paced WHERE NOT fast),
+floods AS (SELECT a.msg_id FROM calm a JOIN calm b ON b.user_id = a.user_id AND b.sec BETWEEN a.sec - 120 AND a.sec AND (b.sec < a.sec OR b.msg_id < a.msg_id)
+  AND (a.n = b.n OR 1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)) >= 0.85) GROUP BY a.msg_id HAVING count(*) >= 2),
+named AS (SELECT *, CASE WHEN regexp_matches(n, '[\r\x{{85}}\x{{2028}}\x{{2029}}]') THEN NULL WHEN regexp_matches(squeezed_n, '\benter\b') THEN 'enter' WHEN regexp_matches(squeezed_n, '\bthand\b') THEN 'thand' END AS name FROM whole),
+decided AS (SELECT msg_id, user_id, bypassed, name, CASE WHEN bypassed THEN NULL WHEN pre IS NOT NULL THEN pre WHEN msg_id IN (SELECT msg_id FROM paced WHERE fast) THEN 'Rate Limit' WHEN msg_id IN (SELECT msg_id FROM floods) THEN 'Flood'
+  WHEN hit THEN 'Domain' WHEN {_BAD} OR {_OBFUSCATED} THEN 'Swear' WHEN name IS NOT NULL THEN 'Server Name' WHEN {_CUSTOM} THEN 'Custom: shout' WHEN {_MIXED} THEN 'Mixed Script' END AS rule FROM named)"""
+
+
+@query(f"WITH {_DECIDED} SELECT msg_id, user_id, bypassed, rule IS NOT NULL AS blocked, rule, replace({_REPLY}, '%name%', coalesce(name, '')) AS block_message FROM decided")
 def decisions_full(spark, sf_dir):
     """All rules, with word lists, names, a dictionary, limits and exempt users."""
     moderator = Moderator(FULL, LEXICON, ("Enter", "thand"), ("user1", "user22"))
@@ -433,19 +466,6 @@ def decisions_full(spark, sf_dir):
     return moderator.decide(lines(spark, sf_dir), dictionary(spark, sf_dir), exempt).select("msg_id", "user_id", "bypassed", "blocked", "rule", "block_message")
 
 
-_SCRIPTS = "|".join(rf"[\x00-\x7F\p{{{s.capitalize()}}}]*" for s in rules.SCRIPTS)
-_RUN = " AND ".join(f"c = cs[i - {n}]" for n in range(1, 6))
-#: FULL's rules over lines without users and dictionary, in order.
-_DRY = rf"""{_NORMALIZED}, dict AS (SELECT '' AS word WHERE false), {_LEX}, {_WORDS},
-texts AS (SELECT msg_id, text FROM lines UNION ALL SELECT msg_id, text FROM normalized), {_domains("texts", "msg_id", "")},
-whole AS (SELECT msg_id, lines.text, normalized.text AS n, ts, hit FROM lines JOIN normalized USING (msg_id) JOIN split USING (msg_id) JOIN sites USING (msg_id)),
-decided AS (SELECT msg_id, CASE WHEN regexp_matches(text, '[^\x{{0000}}-\x{{00FF}}]') THEN 'Illegal Characters' WHEN regexp_matches(text, '{_TAG}') THEN 'MiniMessage'
-    WHEN regexp_matches(text, '{_COLOR}') THEN 'Color Code' WHEN {_UTF16} > 120 THEN 'Message Too Long'
-    WHEN {_chars("text", f"i > 5 AND {_RUN} AND c NOT IN (chr(13), chr(133), chr(8232), chr(8233))")} <> '' THEN 'Repeated Character Spam'
-    WHEN regexp_matches(text, '{_IP}') THEN 'IP' WHEN hit THEN 'Domain' WHEN {_BAD} OR {_OBFUSCATED} THEN 'Swear' WHEN regexp_matches(n, '[A-Z]{{9,}}') THEN 'Custom: shout'
-    WHEN len(list_filter(string_split_regex(n, '[\s\x0B\x1C-\x1F]+'), lambda t: NOT regexp_full_match(t, '(?:{_SCRIPTS})'))) > 0 THEN 'Mixed Script' END AS rule FROM whole)"""
-
-
 @query(f"WITH {_DRY} SELECT msg_id, rule IS NOT NULL AS blocked, rule FROM decided")
 def dry_run_decisions(spark, sf_dir):
     """All rules in order, but for those on users and the dictionary."""
