@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from modengine.llm.components import components
 from modengine.llm.scratch import fresh_name, kept, saved, temporary_tables
 from modengine.llm.wordhash import U64, hash_words, mix, row_slices, texts_of, window_hashes
+from modengine.llm.workers import tidy, tidy_group
 
 SHINGLE = 5
 BANDS, ROWS = 32, 5
@@ -127,6 +128,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 _SCAN = "doc_key long, crc long, fold binary, size int, sig binary, bands array<long>"
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in row_slices(whole, whole.schema.names[1], CHUNK_BYTES):
@@ -142,6 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, sorted keys of (shingle, occurrence)): a multiset as a set."""
     for whole in batches:
@@ -157,6 +160,7 @@ def _multisets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["node", "keys"])
 
 
+@tidy
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both multisets, those at or over the threshold."""
     num, den = THRESHOLD
@@ -191,6 +195,7 @@ def _cell(table: pa.Table) -> tuple[np.ndarray, ...]:
     return node, label, minor, np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
 
 
+@tidy_group
 def _flagged(table: pa.Table) -> pa.Table:
     """The members of a cell that have a partner of another class there."""
     node, label, minor, sig = _cell(table)
@@ -203,6 +208,7 @@ def _flagged(table: pa.Table) -> pa.Table:
     return table.select(["key", "node"]).filter(pa.array(found))
 
 
+@tidy_group
 def _cell_links(table: pa.Table) -> pa.Table:
     """Links between classes of a cell, by exact overlap; pairs that earlier links already join are not compared."""
     num, den = THRESHOLD

@@ -28,6 +28,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from modengine.llm.scratch import delete, fresh_name, kept, saved, scratch_path, temporary_tables
 from modengine.llm.wordhash import U64, hash_words, row_slices, texts_of
+from modengine.llm.workers import tidy
 
 TOPICS = 8
 FEATURES = 64
@@ -57,6 +58,7 @@ def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _measure(text_at: int, keep: list[int], names: list[str]):
     """Columns ``keep`` of each row, its number of words, and its frequencies."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, whole.schema.names[text_at], CHUNK_BYTES):
@@ -69,6 +71,7 @@ def _measure(text_at: int, keep: list[int], names: list[str]):
 def _assign(text_at: int, names: list[str], centres: np.ndarray):
     """All columns of each row, its number of words, and its topic."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, whole.schema.names[text_at], CHUNK_BYTES):
@@ -101,6 +104,7 @@ def fit_topics(features: np.ndarray, topics: int = TOPICS, rounds: int = TOPIC_R
 def _topic_sums(centres: np.ndarray):
     """Rows of frequencies to the sum of unit vectors of each topic, one row a task and topic."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(centres), FEATURES), np.int64)
         for batch in batches:

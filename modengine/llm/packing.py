@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from modengine.llm.scratch import saved
 from modengine.llm.token_files import encoded
+from modengine.llm.workers import tidy
 
 LENGTH = 2048
 OPEN = 1024
@@ -62,6 +63,7 @@ class OpenBins:
 
 
 def _pieces(path: str, length: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids, ends in encoded(batches, path):
             starts = np.concatenate([[0], ends[:-1]])
@@ -78,6 +80,7 @@ def _pieces(path: str, length: int):
 
 
 def _pack(length: int, most: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(length, most), TaskContext.get().partitionId() << 40
         for batch in batches:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from modengine.llm.scratch import fresh_name
 from modengine.llm.wordhash import U64, hash_words, mix, texts_of, window_hashes
+from modengine.llm.workers import tidy, tidy_group
 
 WINDOW = 20
 GRAM = 6
@@ -154,6 +155,7 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, byte
 
 
 def _seed_scan(window: int, gram: int, blocks: int, split: dict[int, int], schema: pa.Schema):
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buffers(batches):
             out = list(_buffer_seeds(rows, window, gram, blocks, split))
@@ -166,6 +168,7 @@ def _seed_scan(window: int, gram: int, blocks: int, split: dict[int, int], schem
 def _seed_counts(window: int, gram: int, blocks: int):
     """Seeds by block of each buffer: what differs within the buffer counts once, as in the scan."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _buffers(batches):
             words, counts = hash_words([t for _, t in rows])
@@ -181,6 +184,7 @@ def _seed_counts(window: int, gram: int, blocks: int):
     return scan
 
 
+@tidy_group
 def _block_factors(table: pa.Table) -> pa.Table:
     """One reference block: index its seeds by first occurrence and give the factors of all later ones."""
     join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
@@ -241,6 +245,7 @@ def _covered(n: int, starts: list[int], seeds: list[int], window: int) -> np.nda
 
 
 def _digests(window: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -274,6 +279,7 @@ def _cut(window: int, column: int):
 
     word = re.compile(rb"[^\x20\x09-\x0D]+")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

@@ -47,14 +47,18 @@ def _cuts() -> np.ndarray:
 
 
 _WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
-_CLASS, _CUT = _byte_classes(), _cuts()
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+_CLASS, _CUT = _byte_classes().tobytes(), _cuts().tobytes().ljust(256, b"\0")
+_LOWER = bytes(range(256)).lower()
+
+
+def _mapped(data: np.ndarray, table: bytes) -> np.ndarray:
+    """``table[data]``, which numpy would do with an index of eight bytes for each byte."""
+    return np.frombuffer(bytearray(data).translate(table), np.uint8)
 
 
 def classes(data: np.ndarray) -> np.ndarray:
     """The class of the character that each byte of UTF-8 ``data`` belongs to."""
-    out = _CLASS[data]
+    out = _mapped(data, _CLASS)
     lead = np.flatnonzero(data >= 0xC2)
     if len(lead):
         first = data[lead]
@@ -79,7 +83,7 @@ def pieces(data: np.ndarray, ends: np.ndarray, drops_blanks: bool) -> tuple[np.n
     """
     kind = classes(data)
     start = np.empty(len(data), bool)
-    start[1:] = _CUT[(kind[:-1] << 3) | kind[1:]]
+    start[1:] = _mapped((kind[:-1] << 3) | kind[1:], _CUT)
     if drops_blanks:
         on = kind != BLANK
         start[1:] |= ~on[:-1]
@@ -90,8 +94,7 @@ def pieces(data: np.ndarray, ends: np.ndarray, drops_blanks: bool) -> tuple[np.n
     places = np.flatnonzero(start)
     before = np.searchsorted(places, ends)
     if drops_blanks:
-        kept = np.flatnonzero(on)
-        data, places = data[kept], np.flatnonzero(start[kept])
+        data, places = data[on], np.flatnonzero(start[on])
     return data, places, before
 
 
@@ -210,15 +213,18 @@ class Encoder:
         data = np.frombuffer(raw, np.uint8, int(bounds[-1] - bounds[0]), int(bounds[0])) if raw is not None and bounds[-1] > bounds[0] else np.empty(0, np.uint8)
         cut, start, upto = pieces(data, bounds[1:] - bounds[0], self.drops_blanks)
         if self.lowers:
-            cut = _LOWER[cut]
-        ends = np.append(start[1:], len(cut))[: len(start)]
+            cut = _mapped(cut, _LOWER)
         offsets = np.append(start, len(cut)) if len(start) else np.zeros(1, np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(cut))]).dictionary_encode()
-        number = self._numbers(words.dictionary)
-        code = number[words.indices.to_numpy()] if len(ends) else np.empty(0, np.int64)
+        del data, cut, start, offsets  # what is gathered below takes its place
+        code = self._numbers(words.dictionary)[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        del words
         length, begin = self.length[code], self.begin[code]
         done = np.cumsum(length)
-        ids = self.ids[np.repeat(begin - done + length, length) + np.arange(int(done[-1]) if len(done) else 0)]
+        place = np.repeat(begin - done + length, length)
+        place += np.arange(len(place))
+        ids = self.ids[place]
+        del code, length, begin, place
         last = np.where(upto > 0, done[np.maximum(upto, 1) - 1], 0) if len(done) else np.zeros(len(upto), np.int64)
         if end is None:
             return ids, last
